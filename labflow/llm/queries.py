@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from labflow.llm.bpe import op3_byte_bpe
 from labflow.llm.linededup import OP5_SQL, op5_line_dedup
 from labflow.llm.mixing import OP4_SQL, op4_mix_sources
 from labflow.llm.simhash import op1_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_mix_sources": op4_mix_sources,
     "op5_line_dedup": op5_line_dedup,
 }
