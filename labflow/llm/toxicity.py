@@ -19,8 +19,8 @@ from labflow.llm.langid import held_out
 
 #: Labelled rows that a model is fitted on at most, drawn by the hash of doc_id.
 MOST_TRAIN = 20_000
-#: Lexicon entries and exception phrases at most; characters of a stem; toxic documents with an entry, and its log-odds, at least.
-MOST_ENTRIES, MOST_PHRASES, STEMS, LEAST_DOCS, LEAST_ODDS = 5_000, 5_000, (4, 5, 6, 7), 4, 3.0
+#: Lexicon entries and exception phrases at most; characters of a stem; toxic documents with an entry, their share, and its log-odds, at least.
+MOST_ENTRIES, MOST_PHRASES, STEMS, LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 5_000, 5_000, (4, 5, 6, 7), 4, 0.004, 3.0
 #: Entries that a task holds before it hands on their counts.
 HELD = 1_000_000
 
@@ -143,7 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAIN) -> tuple[dic
     toxic, clean = by.get(True, 0), by.get(False, 0)
     odds = F.log(((F.col("toxic") + 0.5) / (toxic + 1)) / ((F.col("clean") + 0.5) / (clean + 1)))
     counted = _counted(rows, lambda text: _entries(set(WORD.findall(fold(text)))))
-    best = counted.where(F.col("toxic") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
+    least = max(LEAST_DOCS, math.ceil(LEAST_SHARE * toxic))
+    best = counted.where(F.col("toxic") >= least).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
     lexicon: dict[str, float] = {}
     for r in sorted(best.orderBy(F.desc("toxic"), "entry").limit(MOST_ENTRIES).collect(), key=lambda r: (len(r["entry"]), r["entry"])):
         # An entry says no more than a stem of it that is as telling.
