@@ -15,12 +15,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labflow.llm.common import table
+from labflow.llm.common import lean, table
 
 #: Pieces of text, pre-tokens and first pieces that a worker remembers at once (twice as many with the generation before).
-MOST_PIECES, MOST_TOKENS, MOST_HEADS, LONGEST = 300_000, 400_000, 10_000, 64
+MOST_PIECES, MOST_TOKENS, MOST_HEADS, LONGEST = 100_000, 200_000, 10_000, 64
 #: Characters that are encoded at once.
-AT_ONCE = 4_000_000
+AT_ONCE = 2_000_000
 #: A single blank between two characters that are no white space: no match of the pattern reaches over it.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 ODD = re.compile(r"\s | \s|^ | $")
@@ -379,7 +379,21 @@ def _mapped(docs: DataFrame, path: str, pattern: str, source: str, more: str, fu
             yield pa.RecordBatch.from_arrays([*b.columns, *function(own, b.column(at))], names=[*b.schema.names, *names])
 
     schema = docs.sparkSession.createDataFrame([], more).schema
-    return docs.mapInArrow(each, type(schema)([*docs.schema.fields, *schema.fields]))
+    return lean(docs).mapInArrow(each, type(schema)([*docs.schema.fields, *schema.fields]))
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """encode(), with lossless: whether the ids decode to the text's bytes. One pass, so each task needs one worker."""
+
+    def both(own: Codec, column: pa.Array) -> list[pa.Array]:
+        texts = [x or "" for x in column.to_pylist()]
+        ids, same = [], []
+        for text, found in zip(texts, own.encode_all(texts), strict=True):
+            ids.append(found)
+            same.append(own.decode(found) == text.encode())
+        return [_lists(ids), pa.array(same, pa.bool_())]
+
+    return _mapped(docs.drop("ids", "lossless"), path, pattern, "text", "ids array<int>, lossless boolean", both)
 
 
 def digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:

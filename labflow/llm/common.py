@@ -5,12 +5,14 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch of rows that Python gets.
+BATCH_BYTES = 4 << 20
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and continue from there.
@@ -33,8 +35,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_columns(df: DataFrame, schema: str, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    return df.mapInArrow(function, schema)
+def lean(df: DataFrame) -> DataFrame:
+    """df, with a session that hands texts to Python in batches of a few MB, so that long ones don't add up in a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
 
 
 def byte_values(column: pa.Array) -> list[bytes]:

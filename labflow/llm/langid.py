@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labflow.llm.common import table
+from labflow.llm.common import lean, table
 
 #: Labelled rows that a model is fitted on at most, drawn by the hash of doc_id.
 MOST_TRAIN = 20_000
@@ -70,7 +70,7 @@ def fit(docs: DataFrame, most: int = MOST_TRAIN) -> tuple[list[str], np.ndarray]
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int64()), pa.array(n[some], pa.int64())], ["lang", "gram", "n"])
 
-    counts = rows.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = lean(rows).select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     model = np.full((BUCKETS, max(1, len(langs))), PRIOR)
     for j, lang in enumerate(langs):
@@ -170,7 +170,7 @@ def identify(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "lang_pred", "score", "lang_shares"])
 
     more = docs.sparkSession.createDataFrame([], "lang_pred string, score double, lang_shares map<string,double>").schema
-    return docs.mapInArrow(each, type(more)([*docs.schema.fields, *more.fields]))
+    return lean(docs).mapInArrow(each, type(more)([*docs.schema.fields, *more.fields]))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from labflow.llm.common import byte_values, cut, table
+from labflow.llm.common import byte_values, cut, lean, table
 
 #: Bits of a piece of a filter, and the least and most bits of a whole one (32 MB).
 PIECE, LEAST_BITS, MOST_BITS = 1 << 18, 1 << 20, 1 << 28
@@ -85,7 +85,7 @@ def twice_seen(docs: DataFrame, bits: int) -> np.ndarray:
         if at is not None:
             yield out()
 
-    filled = docs.select("text").mapInArrow(fill, "piece int, once binary, twice binary")
+    filled = lean(docs).select("text").mapInArrow(fill, "piece int, once binary, twice binary")
     merged = filled.repartition("piece").sortWithinPartitions("piece").mapInArrow(merge, "piece int, twice binary")
     whole, step = np.zeros(bits >> 3, np.uint8), min(PIECE, bits) >> 3
     for r in merged.toLocalIterator():
@@ -130,7 +130,7 @@ def repeated(docs: DataFrame, min_docs: int, seen, bits: int) -> DataFrame:
         if found:
             yield out()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(suspects, "key binary, n long, doc long, line long")
+    rows = lean(docs).select(F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(suspects, "key binary, n long, doc long, line long")
     first = F.min(F.struct("doc", "line"))
     return rows.groupBy("key").agg(F.sum("n").alias("n"), first.alias("f")).where(F.col("n") >= min_docs).select("key", F.col("f.doc").alias("first_doc"), F.col("f.line").alias("first_line"))
 
@@ -177,7 +177,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, b
                     m.append(len(lines) - len(kept))
                 yield rewrite(batch, texts, n, m)
 
-        return docs.mapInArrow(each, schema)
+        return lean(docs).mapInArrow(each, schema)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = seen.value
@@ -198,12 +198,12 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, b
             yield rewrite(batch, texts, n, m)
 
     own = F.xxhash64("text")
-    rows = docs.select(F.col("doc_id").cast("long"), own, "text").mapInArrow(lines, "doc long, hash long, line long, key binary").join(lost, "key")
+    rows = lean(docs).select(F.col("doc_id").cast("long"), own, "text").mapInArrow(lines, "doc long, hash long, line long, key binary").join(lost, "key")
     if keep_first:
         rows = rows.where(~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("line") == F.col("first_line"))))
     out = rows.groupBy("doc", "hash").agg(F.collect_set("line").alias("lost_lines"))
     both = docs.withColumn("own_hash", own).join(out, F.col("doc_id").cast("long").eqNullSafe(F.col("doc")) & (F.col("own_hash") == F.col("hash")), "left")
-    return both.select(*(docs[c] for c in docs.columns), "lost_lines").mapInArrow(remove, schema)
+    return lean(both).select(*(docs[c] for c in docs.columns), "lost_lines").mapInArrow(remove, schema)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labflow.llm.common import byte_values, cut, small, table
+from labflow.llm.common import byte_values, cut, lean, small, table
 from labflow.llm.components import components
 
 BITS = 64
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str
             fp = pa.array([fingerprint(x, width) for x in byte_values(b.column(1))], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), fp], ["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(each, "doc_id long, fp long")
+    return lean(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(each, "doc_id long, fp long")
 
 
 def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labflow.llm.common import byte_values, table
+from labflow.llm.common import byte_values, lean, table
 
 # Fixed values of the format: tags, and how many bytes a value of each type has.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_SIZES, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_SIZES = 256, 257, 258, 259, 262, 273, 277, 278, 279, 317, 322, 323, 324, 325
@@ -263,7 +263,7 @@ def pages(files: DataFrame, content: str = "content") -> DataFrame:
                 if error:
                     yield row([k + 1, None, None, None, None, None, None, None, error])
 
-    return files.mapInArrow(each, type(kind)([*(f for f in files.schema.fields if f.name != content), *kind.fields]))
+    return lean(files).mapInArrow(each, type(kind)([*(f for f in files.schema.fields if f.name != content), *kind.fields]))
 
 
 def store(data: bytes) -> tuple[bytes, int]:
@@ -306,7 +306,7 @@ def media_digests(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op10_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labflow.llm.bpe import codec
-from labflow.llm.common import table
+from labflow.llm.common import lean, table
 
 #: Who gets a token that crosses a boundary: the section of its first character, that of most of its characters (ties: the first), or each by its share.
 RULES = ("first", "most", "share")
@@ -89,7 +89,7 @@ def section_tokens(docs: DataFrame, path: str, pattern: str = public_tokenizers.
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "section", "char_start", "char_end", "n_tokens", "n_shared", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, section int, char_start long, char_end long, n_tokens double, n_shared long, doc_tokens long")
+    return lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, section int, char_start long, char_end long, n_tokens double, n_shared long, doc_tokens long")
 
 
 def op9_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labflow.llm.common import cut, table
+from labflow.llm.common import cut, lean, table
 from labflow.llm.langid import held_out
 
 #: Labelled rows that a model is fitted on at most, drawn by the hash of doc_id.
@@ -118,7 +118,7 @@ def _counted(rows: DataFrame, parts) -> DataFrame:
                     sums[1].clear()
         yield out()
 
-    return rows.mapInArrow(count, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return lean(rows).mapInArrow(count, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def _phrases(matcher: Matcher, text: str) -> set[str]:
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAIN) -> tuple[dic
             f = [matcher_of(lexicon, phrases).features(x) for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in f], pa.float64()), pa.array([x[1] for x in f], pa.float64()), b.column(1)], ["a", "b", "toxic"])
 
-    data = rows.mapInArrow(measure, "a double, b double, toxic int").toPandas()
+    data = lean(rows).mapInArrow(measure, "a double, b double, toxic int").toPandas()
     return lexicon, phrases, _logistic(data[["a", "b"]].to_numpy(float), (data["toxic"] > 0).to_numpy(float))
 
 
@@ -208,7 +208,7 @@ def score_toxicity(docs: DataFrame, lexicon: dict[str, float], phrases: set[str]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
 
     more = docs.sparkSession.createDataFrame([], "score double, predicted int").schema
-    return docs.mapInArrow(each, type(more)([*docs.schema.fields, *more.fields]))
+    return lean(docs).mapInArrow(each, type(more)([*docs.schema.fields, *more.fields]))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
