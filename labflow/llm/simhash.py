@@ -20,6 +20,8 @@ BITS = 64
 CHUNK, PAIRS = 1 << 16, 1 << 21
 #: Edges that a task holds before it reduces them to a forest.
 EDGES = 1 << 18
+#: Spanning forests of candidates that are held against the texts.
+FORESTS = 8
 #: A probed cell with more rows than this is dealt out in blocks.
 HOT = 1 << 15
 #: Cost of comparing two fingerprints, against moving one probe.
@@ -40,15 +42,26 @@ def shingles(data: bytes, width: int) -> Iterator[list[bytes]]:
         yield [line[i:j] for i, j in zip(starts[at : min(n, at + CHUNK)].tolist(), last[at : at + CHUNK].tolist(), strict=True)]
 
 
-def fingerprint(data: bytes, width: int) -> int:
-    """Bit i is 1 if set in over half the shingles' XXH64 (seed 42); 0 without words."""
-    counts, n = np.zeros(BITS, np.int64), 0
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes h for fingerprint k, independent of those for others; h itself for 0."""
+    if not k:
+        return h
+    h = h ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint(data: bytes, width: int, times: int = 1) -> list[int]:
+    """`times` fingerprints. Bit i of the first is 1 if set in over half the shingles' XXH64 (seed 42); 0 without words."""
+    counts, n = np.zeros((times, BITS), np.int64), 0
     digest = xxhash.xxh64_intdigest
     for part in shingles(data, width):
         h = np.fromiter((digest(s, 42) for s in part), np.uint64, len(part))
-        counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        for k in range(times):
+            counts[k] += np.unpackbits(mixed(h, k).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(part)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0]) if n else 0
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<i8")[:, 0].tolist() if n else [0] * times
 
 
 def fingerprints(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -56,7 +69,7 @@ def fingerprints(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = pa.array([fingerprint(x, width) for x in byte_values(b.column(1))], pa.int64())
+            fp = pa.array([fingerprint(x, width)[0] for x in byte_values(b.column(1))], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), fp], ["doc_id", "fp"])
 
     return lean(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(each, "doc_id long, fp long")
@@ -132,24 +145,35 @@ def allocate(n: int, both: np.ndarray, most: int) -> tuple[list[list[int]], list
     return best[1], best[2]
 
 
-def forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A least spanning forest of the edges (by d, then a and b)."""
+def forests(a: np.ndarray, b: np.ndarray, d: np.ndarray, k: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, d, rank): k edge-disjoint spanning forests of the edges, each the least (by d, then a and b) of what those before left.
+
+    Nodes that a forest joins are joined in those before it, so an edge that the
+    last one doesn't need is dropped after one look.
+    """
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    up = list(range(len(nodes)))
+    up = [list(range(len(nodes))) for _ in range(k)]
 
-    def top(x: int) -> int:
-        while up[x] != x:
-            up[x] = x = up[up[x]]
+    def top(own: list[int], x: int) -> int:
+        while own[x] != x:
+            own[x] = x = own[own[x]]
         return x
 
     x, y = ends[: len(a)].tolist(), ends[len(a) :].tolist()
-    kept = []
-    for k in np.lexsort((b, a, d)).tolist():
-        i, j = top(x[k]), top(y[k])
-        if i != j:
-            up[i] = j
-            kept.append(k)
-    return a[kept], b[kept], d[kept]
+    kept, ranks, last = [], [], (-1, -1)
+    for e in np.lexsort((b, a, d)).tolist():
+        now = (x[e], y[e])
+        if now == last or top(up[-1], now[0]) == top(up[-1], now[1]):
+            continue
+        last = now
+        for rank, own in enumerate(up):
+            i, j = top(own, now[0]), top(own, now[1])
+            if i != j:
+                own[i] = j
+                kept.append(e)
+                ranks.append(rank)
+                break
+    return a[kept], b[kept], d[kept], np.array(ranks, np.int32)
 
 
 def _pairs(fp: np.ndarray, probe: np.ndarray, start: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -174,20 +198,20 @@ def _pairs(fp: np.ndarray, probe: np.ndarray, start: np.ndarray, most: int) -> I
         at = to
 
 
-def verify(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (part, key, block, probe, fp), sorted by them, to a forest of the links (a, b, d) that a task finds."""
+def verify(batches: Iterator[pa.RecordBatch], most: int, k: int = 1) -> Iterator[pa.RecordBatch]:
+    """Rows (part, key, block, probe, fp), sorted by them, to k forests of the links (a, b, d, rank) that a task finds."""
     edges: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    held, rest = 0, None
+    new, held, rest = 0, 0, None
 
     def compare(part: np.ndarray, key: np.ndarray, block: np.ndarray, probe: np.ndarray, fp: np.ndarray) -> None:
-        nonlocal held, edges
-        new = np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
-        for e in _pairs(fp, probe, np.concatenate([[0], new]), most):
+        nonlocal new, held, edges
+        start = np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
+        for e in _pairs(fp, probe, np.concatenate([[0], start]), most):
             edges.append(e)
-            held += len(e[0])
-            if held > EDGES:
-                edges = [forest(*(np.concatenate(x) for x in zip(*edges, strict=True)))]
-                held = len(edges[0][0]) // 2
+            new += len(e[0])
+            if new > max(EDGES, held):
+                edges = [forests(*(np.concatenate(x) for x in zip(*edges, strict=True)), k)[:3]]
+                new, held = 0, len(edges[0][0])
 
     for b in batches:
         if not b.num_rows:
@@ -205,16 +229,16 @@ def verify(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
     if rest is not None:
         compare(*rest)
     if edges:
-        a, b_, d = forest(*(np.concatenate(x) for x in zip(*edges, strict=True)))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b_, pa.int64()), pa.array(d.astype(np.int32), pa.int32())], ["a", "b", "d"])
+        a, b_, d, rank = forests(*(np.concatenate(x) for x in zip(*edges, strict=True)), k)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b_, pa.int64()), pa.array(d.astype(np.int32), pa.int32()), pa.array(rank, pa.int32())], ["a", "b", "d", "rank"])
 
 
-def links(prints: DataFrame, most: int, hot: int = HOT) -> DataFrame:
-    """(a, b, d): links between distinct fingerprints (fp) that differ in at most `most` bits.
+def links(prints: DataFrame, most: int, hot: int = HOT, k: int = 1) -> DataFrame:
+    """(a, b, d, rank): links between distinct fingerprints (fp) that differ in at most `most` bits.
 
-    The links kept are enough to reach whatever all links reach, at each
-    distance: each task reduces its own to a least spanning forest, so a dense
-    group gives as many rows as it has members, not its square. Every
+    The links of rank 0 are enough to reach whatever all links reach, at each
+    distance: each task reduces its own to k spanning forests, so a dense group
+    gives at most k times as many rows as it has members, not its square. Every
     fingerprint is probed with all neighbours of its projection within the
     part's threshold; what meets in a cell is verified on all 64 bits. Cells of
     over `hot` rows are dealt out in blocks, each of which sees all probes.
@@ -240,8 +264,15 @@ def links(prints: DataFrame, most: int, hot: int = HOT) -> DataFrame:
         cells = cells.join(small(large, 100_000), ["part", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         cells = cells.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).withColumn("probe", F.col("probe") | (F.col("own") != F.col("block")))
     cells = cells.select("part", "key", "block", "probe", "fp").repartition("part", "key", "block").sortWithinPartitions("part", "key", "block", "probe")
-    found = cells.mapInArrow(lambda batches: verify(batches, most), "a long, b long, d int")
-    return found.groupBy("a", "b").agg(F.min("d").alias("d"))
+    found = cells.mapInArrow(lambda batches: verify(batches, most, k), "a long, b long, d int, rank int")
+    return found.groupBy("a", "b").agg(F.min("d").alias("d"), F.min("rank").alias("rank"))
+
+
+def _mixed(batches: Iterator[pa.RecordBatch], width: int, times: int) -> Iterator[pa.RecordBatch]:
+    """Rows (node, text) to (node, the text's first `times` fingerprints)."""
+    for b in batches:
+        found = [fingerprint(x, width, times) for x in byte_values(b.column(1))]
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k] for x in found], pa.int64()) for k in range(times))], ["node", *(f"fp{k}" for k in range(times))])
 
 
 def _alike(width: int, least: float):
@@ -260,34 +291,68 @@ def _alike(width: int, least: float):
     return each
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, most: int = 4, similarity: float | None = None, hot: int = HOT) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, most: int = 4, hot: int = HOT) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs (doc_id, text).
 
-    Fingerprints within `most` bits link; with `similarity`, only if the texts
-    also have that share of their shingles in common. component_id is the
-    smallest doc_id that can be reached, itself included. Texts that are null or
-    blank have fingerprint 0 and link like any other; repeated rows come out as
-    often as they come in; a null doc_id is kept and never names a component
-    (null, if a component has no other); an empty table gives no rows; other
-    columns are ignored.
+    Fingerprints within `most` bits link. component_id is the smallest doc_id
+    that can be reached, itself included. Texts that are null or blank have
+    fingerprint 0 and link like any other; repeated rows come out as often as
+    they come in; a null doc_id is kept and never names a component (null, if a
+    component has no other); an empty table gives no rows; other columns are
+    ignored.
     """
     rows = cut(fingerprints(docs, width))
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = links(prints, most, hot)
-    if similarity is not None:
-        found = cut(found)
-        ends = cut(found.select(F.col("a").alias("fp")).unionAll(found.select(F.col("b").alias("fp"))).distinct().join(prints, "fp"))
-        ids = docs.select(F.col("doc_id").cast("long").alias("least"), F.col("text"))
-        texts = cut(ids.join(small(ends, 200_000), "least").groupBy("fp").agg(F.min("text").alias("text")))
-        pairs = found.select("a", "b").join(texts.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b")
-        found = pairs.select("a", "b", "x", "y").mapInArrow(_alike(width, similarity), "a long, b long")
-    named = components(found)
+    named = components(links(prints, most, hot))
     reach = named.join(prints, named["node"] == prints["fp"]).select("fp", "root", "least")
     named = reach.select("fp", "root").join(reach.groupBy("root").agg(F.min("least").alias("low")), "root").select("fp", "low")
     classes = cut(prints.join(named, "fp", "left").select("fp", F.coalesce("low", "least").alias("component_id")))
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def similar(docs: DataFrame, width: int = 5, most: int = 9, least: float = 0.8, times: int = 2, hot: int = HOT) -> DataFrame:
+    """(doc_id, component_id) for each row of docs (doc_id, text): near-duplicates by fingerprints, each link held against the texts.
+
+    Texts link if one of their `times` independent fingerprints differs in at
+    most `most` bits and they have `least` of their shingles in common; several
+    fingerprints reach pairs that one misses by chance. A text's fingerprints
+    after the first are of its shingles' hashes, mixed once more. Links of the
+    first spanning forests are held against the texts first, others only where
+    those have not joined their ends. Each task keeps FORESTS forests: a text
+    with up to FORESTS candidates keeps them all; in denser groups, a pair whose
+    ends only reach each other through texts less similar than `least` can be
+    lost.
+
+    component_id is as for near_duplicates. Null, empty and blank texts are alike.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"), F.col("text"))
+    names = [f"fp{k}" for k in range(times)]
+    one = cut(lean(texts.select("node", "text")).mapInArrow(lambda batches: _mixed(batches, width, times), ", ".join(["node long", *(f"{x} long" for x in names)])).distinct())
+    found = None
+    for name in names:
+        ends = cut(one.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("node")))
+        pairs = links(ends.select("fp"), most, hot, FORESTS).select("a", "b", "rank")
+        pairs = pairs.join(ends.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a").join(ends.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b").select("u", "v", "rank")
+        same = one.join(ends.withColumnRenamed("node", "v"), one[name] == ends["fp"]).where("node <> v").select(F.col("node").alias("u"), "v", F.lit(0).alias("rank"))
+        pairs = pairs.unionAll(same)
+        found = pairs if found is None else found.unionAll(pairs)
+    found = cut(found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("rank").alias("rank")))
+    edges = None
+    for pairs in (found.where("rank = 0"), found.where("rank > 0")):
+        if edges is not None:
+            pairs = pairs.join(roots.select(F.col("node").alias("u"), F.col("root").alias("p")), "u").join(roots.select(F.col("node").alias("v"), F.col("root").alias("q")), "v").where("p <> q")
+        pairs = cut(pairs.select("u", "v"))
+        met = cut(pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct())
+        held = cut(texts.select("node", "text").join(small(met, 200_000), "node", "left_semi").dropDuplicates(["node"]))
+        both = pairs.join(held.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(held.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
+        alike = lean(both.select("u", "v", "x", "y")).mapInArrow(_alike(width, least), "a long, b long")
+        edges = cut(alike if edges is None else edges.unionAll(alike))
+        roots = cut(one.select("node").join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    ids = texts.select("doc_id", "node").join(roots, "node")
+    low = cut(ids.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    return ids.join(low, "root").select("doc_id", "component_id")
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), width=4, most=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

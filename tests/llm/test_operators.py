@@ -81,11 +81,36 @@ def test_simhash_chunks(monkeypatch):
     assert simhash.fingerprint(text, 5) == whole
 
 
-def test_simhash_verifies(spark):
-    a = " ".join(map(str, range(100)))
-    rows = [(1, a), (2, a + " more"), (3, " ".join(map(str, range(50, 150))))]
-    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 40, similarity=0.8)
-    assert dict(got.select("doc_id", "component_id").collect()) == {1: 1, 2: 1, 3: 3}
+def test_similar_as_brute_force(spark):
+    r = random.Random(5)
+    rows = []
+    for i in range(12):
+        words = [str(r.randrange(10**6)) for _ in range(r.choice([60, 150, 300]))]
+        rows.append((i * 10, " ".join(words)))
+        for j in range(1, 4):
+            more = list(words)
+            more[r.randrange(len(more))] = "changed"
+            rows.append((i * 10 + j, " ".join(more)))
+        rows.append((i * 10 + 9, " ".join(words[: len(words) // 2] + [str(r.randrange(10**6)) for _ in words])))
+    often = "one two three four five " * 400
+    rows += [(500, None), (501, ""), (502, " \n"), (503, rows[0][1]), (0, rows[0][1].upper()), (None, rows[5][1]), (504, often + rows[0][1]), (505, often + rows[5][1])]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for _, t in rows)]
+    prints = [simhash.fingerprint((t or "").encode(), 5, 2) for _, t in rows]
+    near = lambda x, y: any(((a ^ b) & (1 << 64) - 1).bit_count() <= 9 for a, b in zip(prints[x], prints[y], strict=True))
+    alike = {(x, y) for x in range(len(rows)) for y in range(len(rows)) if near(x, y) and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])}
+    want = classes([(d, k) for k, (d, _) in enumerate(rows)], 64, lambda a, b: (a[1], b[1]) in alike)
+    got = simhash.similar(spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, node int"), 5, 9, 0.8, 2).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, zip((d for d, _ in rows), want, strict=True)))
+
+
+def test_similar_of_nothing(none):
+    assert simhash.similar(none).count() == 0
+
+
+def test_fingerprints_are_independent():
+    prints = np.array([simhash.fingerprint(sentence(50).encode(), 5, 3) for _ in range(200)], np.int64).view(np.uint64)
+    for a, b in ((0, 1), (0, 2), (1, 2)):
+        assert 30 < np.bitwise_count(prints[:, a] ^ prints[:, b]).mean() < 34
 
 
 def test_thresholds_sum_up():
