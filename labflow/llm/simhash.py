@@ -17,12 +17,16 @@ from labflow.llm.components import components
 
 BITS = 64
 #: Shingles that are counted at once, and pairs that are compared at once.
-CHUNK, PAIRS = 1 << 16, 1 << 21
+CHUNK, PAIRS = 1 << 16, 1 << 18
 #: Edges that a task holds before it reduces them to a forest.
-EDGES = 1 << 18
-#: Spanning forests of candidates that are held against the texts.
-FORESTS = 8
-#: A probed cell with more rows than this is dealt out in blocks.
+EDGES = 1 << 17
+#: Words of 64 parity bits that bound how many shingles two texts don't share.
+MARKS = 4
+#: How many times the spanning forests of a round the next one keeps.
+MORE = 8
+#: Neighbours of a projection that are probed at most; thresholds that need more are not chosen.
+MOST_PROBES = 4096
+#: Cells about a projection of more rows than this are dealt out in blocks of as many.
 HOT = 1 << 15
 #: Cost of comparing two fingerprints, against moving one probe.
 COMPARE = 0.02
@@ -52,6 +56,12 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def shingle_set(data: bytes, width: int) -> np.ndarray:
+    """The XXH64 (seed 42) of a text's shingles, each once, in order."""
+    parts = [np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in part), np.uint64, len(part))) for part in shingles(data, width)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
 def fingerprint(data: bytes, width: int, times: int = 1) -> list[int]:
     """`times` fingerprints. Bit i of the first is 1 if set in over half the shingles' XXH64 (seed 42); 0 without words."""
     counts, n = np.zeros((times, BITS), np.int64), 0
@@ -121,8 +131,11 @@ def allocate(n: int, both: np.ndarray, most: int) -> tuple[list[list[int]], list
     i if the sum of t_i + 1 is most + 1 (t_i = -1 skips a part). For each number
     of parts, dynamic programming shares out this sum; the cost of a threshold
     is its probes plus its estimated candidates, from each bit's own frequency.
+    Thresholds of over MOST_PROBES probes are left out; eight parts of eight
+    bits can always be shared out without them.
     """
-    p = np.diag(both) / max(n, 1)
+    n = max(n, 1)
+    p = np.diag(both) / n
     agree = p * p + (1 - p) * (1 - p)
     best: tuple[float, list[list[int]], list[int]] | None = None
     for parts in range(2, 9):
@@ -134,10 +147,12 @@ def allocate(n: int, both: np.ndarray, most: int) -> tuple[list[list[int]], list
                 chance = np.convolve(chance, [agree[b], 1 - agree[b]])
             within = np.cumsum(chance)
             probes = np.cumsum([math.comb(len(own), t) for t in range(len(own) + 1)])
-            costs.append([0.0, *(float(n * probes[t] + COMPARE * n * n * within[t]) for t in range(min(most, len(own)) + 1))])
+            costs.append([0.0, *(float(n * probes[t] + COMPARE * n * n * within[t]) for t in range(min(most, len(own)) + 1) if probes[t] <= MOST_PROBES)])
         table_: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for cost in costs:
             table_ = {s: min((table_[s - t][0] + cost[t], [*table_[s - t][1], t - 1]) for t in range(len(cost)) if s - t in table_) for s in range(most + 2) if any(s - t in table_ for t in range(len(cost)))}
+        if most + 1 not in table_:
+            continue
         total, chosen = table_[most + 1]
         if best is None or total < best[0]:
             best = (total, groups, chosen)
@@ -145,11 +160,12 @@ def allocate(n: int, both: np.ndarray, most: int) -> tuple[list[list[int]], list
     return best[1], best[2]
 
 
-def forests(a: np.ndarray, b: np.ndarray, d: np.ndarray, k: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, d, rank): k edge-disjoint spanning forests of the edges, each the least (by d, then a and b) of what those before left.
+def forests(a: np.ndarray, b: np.ndarray, d: np.ndarray, k: int = 1) -> tuple[list[int], list[int]]:
+    """(kept, gone): the places of k edge-disjoint spanning forests of the edges, and of the edges left out.
 
+    Each forest is the least (by d, then a and b) of what those before left.
     Nodes that a forest joins are joined in those before it, so an edge that the
-    last one doesn't need is dropped after one look.
+    last one doesn't need is left out after one look. Of repeated edges, one counts.
     """
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
     up = [list(range(len(nodes))) for _ in range(k)]
@@ -160,24 +176,33 @@ def forests(a: np.ndarray, b: np.ndarray, d: np.ndarray, k: int = 1) -> tuple[np
         return x
 
     x, y = ends[: len(a)].tolist(), ends[len(a) :].tolist()
-    kept, ranks, last = [], [], (-1, -1)
+    kept, gone, last = [], [], (-1, -1)
     for e in np.lexsort((b, a, d)).tolist():
         now = (x[e], y[e])
-        if now == last or top(up[-1], now[0]) == top(up[-1], now[1]):
+        if now == last:
             continue
         last = now
-        for rank, own in enumerate(up):
+        if top(up[-1], now[0]) == top(up[-1], now[1]):
+            gone.append(e)
+            continue
+        for own in up:
             i, j = top(own, now[0]), top(own, now[1])
             if i != j:
                 own[i] = j
                 kept.append(e)
-                ranks.append(rank)
                 break
-    return a[kept], b[kept], d[kept], np.array(ranks, np.int32)
+    return kept, gone
+
+
+def parities(hashes: np.ndarray) -> list[int]:
+    """MARKS words of bits: whether an odd number of the hashes falls on each. Two sets' bits differ in no more places than the sets."""
+    odd = np.bincount((hashes % np.uint64(64 * MARKS)).astype(np.int64), minlength=64 * MARKS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
 
 
-def _pairs(fp: np.ndarray, probe: np.ndarray, start: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Links between the indexed rows of each cell and all its later rows. start: the cells' first rows; indexed rows come first."""
+def _pairs(rows: tuple[np.ndarray, ...], start: np.ndarray, most: int, least: float, parts: list[tuple[int, int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Links between the indexed rows of each cell and its later rows; a link that several cells find is given in one. start: the cells' first rows; indexed rows come first."""
+    part, probe, fp, node, root, *more = rows
     end = np.append(start[1:], len(fp))
     cell = np.searchsorted(start, np.arange(len(fp)), "right") - 1
     index = np.flatnonzero(~probe)
@@ -191,32 +216,61 @@ def _pairs(fp: np.ndarray, probe: np.ndarray, start: np.ndarray, most: int) -> I
         left = np.repeat(index[at:to], counts[at:to])
         right = left + 1 + np.arange(len(left)) - np.repeat(total[at:to] - counts[at:to] - base, counts[at:to])
         far = np.bitwise_count((fp[left] ^ fp[right]).view(np.uint64))
-        near = np.flatnonzero((far <= most) & (fp[left] != fp[right]))
-        if len(near):
-            x, y = fp[left[near]], fp[right[near]]
-            yield np.minimum(x, y), np.maximum(x, y), far[near].astype(np.int8)
+        near = np.flatnonzero((far <= most) & (root[left] != root[right]))
+        left, right, far = left[near], right[near], far[near]
+        both = (fp[left] ^ fp[right]).view(np.uint64)
+        first = np.full(len(left), -1)
+        for number, mask, limit in reversed(parts):
+            first[np.bitwise_count(both & np.uint64(mask)) <= limit] = number
+        own = (first == part[left]) & (~probe[right] | (node[left] < node[right]))
+        if more:
+            size, *marks = more
+            own &= np.minimum(size[left], size[right]) >= least * np.maximum(size[left], size[right])
+            apart = sum(np.bitwise_count((x[left] ^ x[right]).view(np.uint64)).astype(np.int64) for x in marks)
+            own &= apart <= (1 - least) / (1 + least) * (size[left].astype(np.int64) + size[right]) + 1e-6
+        left, right, far = left[own], right[own], far[own]
+        if len(left):
+            x, y = node[left], node[right]
+            yield np.minimum(x, y), np.maximum(x, y), far.astype(np.int8)
         at = to
 
 
-def verify(batches: Iterator[pa.RecordBatch], most: int, k: int = 1) -> Iterator[pa.RecordBatch]:
-    """Rows (part, key, block, probe, fp), sorted by them, to k forests of the links (a, b, d, rank) that a task finds."""
+def verify(batches: Iterator[pa.RecordBatch], most: int, parts: list[tuple[int, int, int]], k: int = 1, least: float = 0.0) -> Iterator[pa.RecordBatch]:
+    """Rows (part, key, block, probe, fp), sorted by them, to k forests of the links (a, b) that a task finds.
+
+    parts has each part's number, mask and threshold. Rows may go on with node,
+    root, size and parities: then links are between nodes of different roots
+    that can have `least` of their shingles in common by their sizes and
+    parities, and a row (a, null) names each end of a link that the forests left
+    out.
+    """
     edges: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     new, held, rest = 0, 0, None
+    ends = np.zeros(0, np.int64)
 
-    def compare(part: np.ndarray, key: np.ndarray, block: np.ndarray, probe: np.ndarray, fp: np.ndarray) -> None:
-        nonlocal new, held, edges
+    def reduce() -> None:
+        nonlocal edges, ends
+        a, b, d = (np.concatenate(x) for x in zip(*edges, strict=True))
+        kept, gone = forests(a, b, d, k)
+        edges = [(a[kept], b[kept], d[kept])]
+        ends = np.unique(np.concatenate([ends, a[gone], b[gone]]))
+
+    def compare(part: np.ndarray, key: np.ndarray, block: np.ndarray, probe: np.ndarray, fp: np.ndarray, *more: np.ndarray) -> None:
+        nonlocal new, held
         start = np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
-        for e in _pairs(fp, probe, np.concatenate([[0], start]), most):
+        for e in _pairs((part, probe, fp, *(more or (fp, fp))), np.concatenate([[0], start]), most, least, parts):
             edges.append(e)
             new += len(e[0])
             if new > max(EDGES, held):
-                edges = [forests(*(np.concatenate(x) for x in zip(*edges, strict=True)), k)[:3]]
+                reduce()
                 new, held = 0, len(edges[0][0])
 
+    tell = False
     for b in batches:
         if not b.num_rows:
             continue
-        now = tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        tell = b.num_columns > 5
+        now = tuple(x.to_numpy(zero_copy_only=False) for x in b.columns)
         if rest is not None:
             now = tuple(np.concatenate(x) for x in zip(rest, now, strict=True))
         part, key, block = now[:3]
@@ -229,62 +283,77 @@ def verify(batches: Iterator[pa.RecordBatch], most: int, k: int = 1) -> Iterator
     if rest is not None:
         compare(*rest)
     if edges:
-        a, b_, d, rank = forests(*(np.concatenate(x) for x in zip(*edges, strict=True)), k)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b_, pa.int64()), pa.array(d.astype(np.int32), pa.int32()), pa.array(rank, pa.int32())], ["a", "b", "d", "rank"])
-
-
-def links(prints: DataFrame, most: int, hot: int = HOT, k: int = 1) -> DataFrame:
-    """(a, b, d, rank): links between distinct fingerprints (fp) that differ in at most `most` bits.
-
-    The links of rank 0 are enough to reach whatever all links reach, at each
-    distance: each task reduces its own to k spanning forests, so a dense group
-    gives at most k times as many rows as it has members, not its square. Every
-    fingerprint is probed with all neighbours of its projection within the
-    part's threshold; what meets in a cell is verified on all 64 bits. Cells of
-    over `hot` rows are dealt out in blocks, each of which sees all probes.
+        reduce()
+        yield pa.RecordBatch.from_arrays([pa.array(edges[0][0], pa.int64()), pa.array(edges[0][1], pa.int64())], ["a", "b"])
+    if tell and len(ends):
+        yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64()), pa.nulls(len(ends), pa.int64())], ["a", "b"])
+
+
+def links(prints: DataFrame, most: int, hot: int = HOT, k: int = 1, least: float = 0.0) -> DataFrame:
+    """(a, b): links between distinct fingerprints (fp) that differ in at most `most` bits.
+
+    They are enough to reach whatever all links reach: each task reduces its
+    own to k spanning forests, so a dense group gives at most k times as many
+    rows as it has members, not its square. Every fingerprint is probed with all
+    neighbours of its projection within the part's threshold; what meets in a
+    cell is verified on all 64 bits. Cells that rows of a projection of over
+    `hot` rows go to are cut into blocks of about `hot` rows, and each two blocks
+    meet in a task of their own. With prints (fp, node, root, size, parities),
+    verify() says what links and which further rows come.
     """
     n, both = bit_statistics(prints)
     groups, limits = allocate(n, both, most)
+    own = prints.columns
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    probes = []
-    for part, (own, limit) in enumerate(zip(groups, limits, strict=True)):
+    probes, around = [], {}
+    for part, (bits, limit) in enumerate(zip(groups, limits, strict=True)):
         if limit >= 0:
-            mask = signed(sum(1 << b for b in own))
-            flips = [signed(sum(1 << b for b in c)) for t in range(limit + 1) for c in combinations(own, t)]
-            at = F.explode(F.array(*(F.lit(x).cast("long") for x in flips))).alias("flip") if len(flips) > 1 else F.lit(0).cast("long").alias("flip")
-            probes.append(prints.select("fp", at).select(F.lit(part).alias("part"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).bitwiseXOR(F.col("flip")).alias("key"), (F.col("flip") != 0).alias("probe"), "fp"))
+            mask = signed(sum(1 << b for b in bits))
+            flips = [signed(sum(1 << b for b in c)) for t in range(limit + 1) for c in combinations(bits, t)]
+            around[part] = F.expr("array(" + ",".join(f"{x + 1}L - 1L" if x == -(1 << 63) else f"{x}L" for x in flips) + ")")
+            at = F.explode(around[part]).alias("flip") if len(flips) > 1 else F.lit(0).cast("long").alias("flip")
+            probes.append(prints.select(*own, at).select(F.lit(part).alias("part"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).bitwiseXOR(F.col("flip")).alias("key"), (F.col("flip") != 0).alias("probe"), *own))
     cells = probes[0]
     for more in probes[1:]:
         cells = cells.unionAll(more)
-    large = cut(cells.where("not probe").groupBy("part", "key").count().where(F.col("count") > hot).select("part", "key", F.ceil(F.col("count") / hot).cast("int").alias("blocks")))
+    large = cut(cells.where("not probe").groupBy("part", "key").count().where(F.col("count") > hot))
     if large.isEmpty():
         cells = cells.withColumn("block", F.lit(0))
     else:
-        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        cells = cells.join(small(large, 100_000), ["part", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        cells = cells.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).withColumn("probe", F.col("probe") | (F.col("own") != F.col("block")))
-    cells = cells.select("part", "key", "block", "probe", "fp").repartition("part", "key", "block").sortWithinPartitions("part", "key", "block", "probe")
-    found = cells.mapInArrow(lambda batches: verify(batches, most, k), "a long, b long, d int, rank int")
-    return found.groupBy("a", "b").agg(F.min("d").alias("d"), F.min("rank").alias("rank"))
+        met = None
+        for part, flips in around.items():
+            now = large.where(F.col("part") == part).select("part", "key", "count", F.explode(flips).alias("flip"))
+            met = now if met is None else met.unionAll(now)
+        met = met.groupBy("part", F.col("key").bitwiseXOR(F.col("flip")).alias("key")).agg(F.ceil(F.sum("count") / hot).cast("long").alias("blocks"))
+        cells = cells.join(small(cut(met), 100_000), ["part", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+        cells = cells.withColumn("home", F.pmod(F.xxhash64("fp" if len(own) == 1 else "node"), F.col("blocks")))
+        cells = cells.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        cells = cells.withColumn("block", F.least("home", "other") * F.col("blocks") + F.greatest("home", "other"))
+    parts = [(k_, sum(1 << b for b in bits), limit) for k_, (bits, limit) in enumerate(zip(groups, limits, strict=True)) if limit >= 0]
+    cells = cells.select("part", "key", "block", "probe", *own).repartition("part", "key", "block").sortWithinPartitions("part", "key", "block", "probe")
+    return cells.mapInArrow(lambda batches: verify(batches, most, parts, k, least), "a long, b long")
 
 
 def _mixed(batches: Iterator[pa.RecordBatch], width: int, times: int) -> Iterator[pa.RecordBatch]:
-    """Rows (node, text) to (node, the text's first `times` fingerprints)."""
+    """Rows (node, text) to (node, how many different shingles, their parities, the text's first `times` fingerprints)."""
     for b in batches:
-        found = [fingerprint(x, width, times) for x in byte_values(b.column(1))]
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k] for x in found], pa.int64()) for k in range(times))], ["node", *(f"fp{k}" for k in range(times))])
+        texts = byte_values(b.column(1))
+        sets = [shingle_set(x, width) for x in texts]
+        sizes, marks = pa.array(map(len, sets), pa.int32()), [parities(x) for x in sets]
+        found = [fingerprint(x, width, times) for x in texts]
+        columns = {"node": b.column(0), "size": sizes} | {f"mark{k}": pa.array([x[k] for x in marks], pa.int64()) for k in range(MARKS)}
+        yield pa.RecordBatch.from_pydict(columns | {f"fp{k}": pa.array([x[k] for x in found], pa.int64()) for k in range(times)})
 
 
 def _alike(width: int, least: float):
     """Keep the pairs (a, b, x, y) whose texts x and y share enough shingles."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = lambda data: {xxhash.xxh64_intdigest(s, 42) for part in shingles(data, width) for s in part}
         for b in batches:
             keep = []
             for x, y in zip(byte_values(b.column(2)), byte_values(b.column(3)), strict=True):
-                p, q = sets(x), sets(y)
-                shared = len(p & q)
+                p, q = shingle_set(x, width), shingle_set(y, width)
+                shared = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(shared >= least * (len(p) + len(q) - shared))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -303,7 +372,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, most: int = 4, hot: int = H
     """
     rows = cut(fingerprints(docs, width))
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    named = components(links(prints, most, hot))
+    named = components(links(prints.select("fp"), most, hot))
     reach = named.join(prints, named["node"] == prints["fp"]).select("fp", "root", "least")
     named = reach.select("fp", "root").join(reach.groupBy("root").agg(F.min("least").alias("low")), "root").select("fp", "low")
     classes = cut(prints.join(named, "fp", "left").select("fp", F.coalesce("low", "least").alias("component_id")))
@@ -316,38 +385,42 @@ def similar(docs: DataFrame, width: int = 5, most: int = 9, least: float = 0.8,
     Texts link if one of their `times` independent fingerprints differs in at
     most `most` bits and they have `least` of their shingles in common; several
     fingerprints reach pairs that one misses by chance. A text's fingerprints
-    after the first are of its shingles' hashes, mixed once more. Links of the
-    first spanning forests are held against the texts first, others only where
-    those have not joined their ends. Each task keeps FORESTS forests: a text
-    with up to FORESTS candidates keeps them all; in denser groups, a pair whose
-    ends only reach each other through texts less similar than `least` can be
-    lost.
+    after the first are of its shingles' hashes, mixed once more.
+
+    Rounds find all such links that matter: in each, a task hands on spanning
+    forests of its candidates, which are held against the texts. Candidates that
+    the forests left out and whose ends the links found have not joined come up
+    again in the next round, among the texts at their ends alone and with MORE
+    times as many forests, until none is left out. So dense groups of copies
+    are done after forests of one round, and all pairs are compared only where
+    they are indeed unlike.
 
     component_id is as for near_duplicates. Null, empty and blank texts are alike.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"), F.col("text"))
-    names = [f"fp{k}" for k in range(times)]
-    one = cut(lean(texts.select("node", "text")).mapInArrow(lambda batches: _mixed(batches, width, times), ", ".join(["node long", *(f"{x} long" for x in names)])).distinct())
-    found = None
-    for name in names:
-        ends = cut(one.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("node")))
-        pairs = links(ends.select("fp"), most, hot, FORESTS).select("a", "b", "rank")
-        pairs = pairs.join(ends.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a").join(ends.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b").select("u", "v", "rank")
-        same = one.join(ends.withColumnRenamed("node", "v"), one[name] == ends["fp"]).where("node <> v").select(F.col("node").alias("u"), "v", F.lit(0).alias("rank"))
-        pairs = pairs.unionAll(same)
-        found = pairs if found is None else found.unionAll(pairs)
-    found = cut(found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("rank").alias("rank")))
-    edges = None
-    for pairs in (found.where("rank = 0"), found.where("rank > 0")):
-        if edges is not None:
-            pairs = pairs.join(roots.select(F.col("node").alias("u"), F.col("root").alias("p")), "u").join(roots.select(F.col("node").alias("v"), F.col("root").alias("q")), "v").where("p <> q")
-        pairs = cut(pairs.select("u", "v"))
+    names, marks = [f"fp{k}" for k in range(times)], [f"mark{k}" for k in range(MARKS)]
+    one = cut(lean(texts.select("node", "text")).mapInArrow(lambda batches: _mixed(batches, width, times), ", ".join(["node long", "size int", *(f"{x} long" for x in marks + names)])).distinct())
+    live, roots, edges, tested, k = one.withColumn("root", F.col("node")), None, None, None, 1
+    while True:
+        found = None
+        for name in names:
+            now = links(live.select(F.col(name).alias("fp"), "node", "root", "size", *marks), most, hot, k, least)
+            found = now if found is None else found.unionAll(now)
+        found = cut(found.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+        pairs = found.where("v is not null")
+        if tested is not None:
+            pairs = cut(pairs.join(tested, ["u", "v"], "left_anti"))
         met = cut(pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct())
         held = cut(texts.select("node", "text").join(small(met, 200_000), "node", "left_semi").dropDuplicates(["node"]))
         both = pairs.join(held.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(held.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
         alike = lean(both.select("u", "v", "x", "y")).mapInArrow(_alike(width, least), "a long, b long")
         edges = cut(alike if edges is None else edges.unionAll(alike))
         roots = cut(one.select("node").join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+        left = found.where("v is null").select(F.col("u").alias("node"))
+        if left.isEmpty():
+            break
+        live = cut(one.join(left, "node", "left_semi").join(roots, "node"))
+        tested, k = pairs if tested is None else cut(tested.unionAll(pairs)), k * MORE
     ids = texts.select("doc_id", "node").join(roots, "node")
     low = cut(ids.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     return ids.join(low, "root").select("doc_id", "component_id")

@@ -103,6 +103,28 @@ def test_similar_as_brute_force(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, zip((d for d, _ in rows), want, strict=True)))
 
 
+def test_similar_in_dense_groups(spark, monkeypatch):
+    r = random.Random(6)
+    base = [str(r.randrange(10**6)) for _ in range(600)]
+    rows = []
+    for i in range(40):
+        words, at = list(base), r.randrange(540)
+        words[at : at + 60] = [str(r.randrange(10**6)) for _ in range(60)]
+        rows.append((2 * i, " ".join(words)))
+        rows.append((2 * i + 1, " ".join([*words[:300], *(["other"] * r.randrange(4)), *words[300:]])))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    alike = lambda a, b: len(sets[a[1]] & sets[b[1]]) >= 0.8 * len(sets[a[1]] | sets[b[1]])
+    prints = [simhash.fingerprint(t.encode(), 5)[0] for _, t in rows]
+    near = lambda a, b: ((prints[a[1]] ^ prints[b[1]]) & (1 << 64) - 1).bit_count() <= 20
+    want = classes([(d, k) for k, (d, _) in enumerate(rows)], 64, lambda a, b: alike(a, b) and near(a, b))
+    rounds = []
+    kept = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a, **b: rounds.append(a[3]) or kept(*a, **b))
+    got = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"), 5, 20, 0.8, 1).collect()
+    assert sorted(map(tuple, got)) == sorted(zip((d for d, _ in rows), want, strict=True))
+    assert len(set(want)) > 10 and len(rounds) > 1
+
+
 def test_similar_of_nothing(none):
     assert simhash.similar(none).count() == 0
 
