@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labflow.llm.common import cut
+from labflow.llm.common import cut, let_go
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -36,4 +36,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if after == state:
             break
         now, state = then, after
+        del both, least, large, linked, nearer, then
+        let_go(edges.sparkSession)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labflow.llm.common import byte_values, cut, lean, small, table
+from labflow.llm.common import byte_values, cut, lean, let_go, small, table
 from labflow.llm.components import components
 
 BITS = 64
@@ -416,6 +416,8 @@ def similar(docs: DataFrame, width: int = 5, most: int = 9, least: float = 0.8,
         alike = lean(both.select("u", "v", "x", "y")).mapInArrow(_alike(width, least), "a long, b long")
         edges = cut(alike if edges is None else edges.unionAll(alike))
         roots = cut(one.select("node").join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+        del now, met, held, both, alike
+        let_go(docs.sparkSession)
         left = found.where("v is null").select(F.col("u").alias("node"))
         if left.isEmpty():
             break
