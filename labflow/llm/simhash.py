@@ -62,16 +62,32 @@ def shingle_set(data: bytes, width: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
+def _set_bits(hashes: np.ndarray, k: int = 0) -> np.ndarray:
+    """How many of the hashes, mixed for fingerprint k, have each bit."""
+    return np.unpackbits(mixed(hashes, k).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def set_fingerprints(hashes: np.ndarray, times: int = 1) -> list[int]:
+    """`times` fingerprints of a shingle_set: bit i is 1 if set in over half the hashes; 0 without any."""
+    counts = np.zeros((times, BITS), np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        for k in range(times):
+            counts[k] += _set_bits(hashes[at : at + CHUNK], k)
+    return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+
+
 def fingerprint(data: bytes, width: int, times: int = 1) -> list[int]:
-    """`times` fingerprints. Bit i of the first is 1 if set in over half the shingles' XXH64 (seed 42); 0 without words."""
-    counts, n = np.zeros((times, BITS), np.int64), 0
-    digest = xxhash.xxh64_intdigest
+    """`times` fingerprints of a text's different shingles: texts of equal sets have equal ones, however often a passage repeats."""
+    return set_fingerprints(shingle_set(data, width), times)
+
+
+def repeats_fingerprint(data: bytes, width: int) -> int:
+    """The SimHash with repeats: bit i is 1 if set in over half of all shingles' XXH64 (seed 42), each as often as it occurs; 0 without words."""
+    counts, n = np.zeros((1, BITS), np.int64), 0
     for part in shingles(data, width):
-        h = np.fromiter((digest(s, 42) for s in part), np.uint64, len(part))
-        for k in range(times):
-            counts[k] += np.unpackbits(mixed(h, k).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts[0] += _set_bits(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in part), np.uint64, len(part)))
         n += len(part)
-    return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<i8")[:, 0].tolist() if n else [0] * times
+    return int(np.packbits(2 * counts > n, axis=1, bitorder="little").view("<i8")[0, 0])
 
 
 def fingerprints(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -79,7 +95,7 @@ def fingerprints(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = pa.array([fingerprint(x, width)[0] for x in byte_values(b.column(1))], pa.int64())
+            fp = pa.array([repeats_fingerprint(x, width) for x in byte_values(b.column(1))], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), fp], ["doc_id", "fp"])
 
     return lean(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(each, "doc_id long, fp long")
@@ -335,12 +351,11 @@ def links(prints: DataFrame, most: int, hot: int = HOT, k: int = 1, least: float
 
 
 def _mixed(batches: Iterator[pa.RecordBatch], width: int, times: int) -> Iterator[pa.RecordBatch]:
-    """Rows (node, text) to (node, how many different shingles, their parities, the text's first `times` fingerprints)."""
+    """Rows (node, text) to (node, how many different shingles, their parities, their first `times` fingerprints)."""
     for b in batches:
-        texts = byte_values(b.column(1))
-        sets = [shingle_set(x, width) for x in texts]
+        sets = [shingle_set(x, width) for x in byte_values(b.column(1))]
         sizes, marks = pa.array(map(len, sets), pa.int32()), [parities(x) for x in sets]
-        found = [fingerprint(x, width, times) for x in texts]
+        found = [set_fingerprints(x, times) for x in sets]
         columns = {"node": b.column(0), "size": sizes} | {f"mark{k}": pa.array([x[k] for x in marks], pa.int64()) for k in range(MARKS)}
         yield pa.RecordBatch.from_pydict(columns | {f"fp{k}": pa.array([x[k] for x in found], pa.int64()) for k in range(times)})
 
@@ -385,7 +400,8 @@ def similar(docs: DataFrame, width: int = 5, most: int = 9, least: float = 0.8,
     Texts link if one of their `times` independent fingerprints differs in at
     most `most` bits and they have `least` of their shingles in common; several
     fingerprints reach pairs that one misses by chance. A text's fingerprints
-    after the first are of its shingles' hashes, mixed once more.
+    are of its different shingles, as is the similarity; those after the first
+    are of their hashes, mixed once more.
 
     Rounds find all such links that matter: in each, a task hands on spanning
     forests of its candidates, which are held against the texts. Candidates that

@@ -125,6 +125,24 @@ def test_similar_in_dense_groups(spark, monkeypatch):
     assert len(set(want)) > 10 and len(rounds) > 1
 
 
+def test_similar_of_repeated_passages(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(30):
+        words = [str(r.randrange(10**6)) for _ in range(400)]
+        line = " ".join(str(r.randrange(10**6)) for _ in range(20))
+        rows += [(2 * i, " ".join([*words, line])), (2 * i + 1, " ".join([*words, *[line] * 10]))]
+    got = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"), 5, 9, 0.8, 2).collect()
+    assert sorted(map(tuple, got)) == [(d, d // 2 * 2) for d, _ in rows]
+
+
+def test_repeats_count_in_op1():
+    for n in (1, 7, 400):
+        text = sentence(n) + " and once more" * n
+        assert simhash.repeats_fingerprint(text.encode(), 4) & (1 << 64) - 1 == fingerprint(text, 4)
+    assert simhash.repeats_fingerprint(b" ", 4) == simhash.fingerprint(b"", 4)[0] == 0
+
+
 def test_similar_of_nothing(none):
     assert simhash.similar(none).count() == 0
 
