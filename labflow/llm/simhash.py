@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -22,12 +23,16 @@ CHUNK, PAIRS = 1 << 16, 1 << 18
 EDGES = 1 << 17
 #: Words of 64 parity bits that bound how many shingles two texts don't share.
 MARKS = 4
+#: Least hashes of shingles that make up the key of a band.
+BAND_ROWS = 4
 #: How many times the spanning forests of a round the next one keeps.
 MORE = 8
 #: Neighbours of a projection that are probed at most; thresholds that need more are not chosen.
 MOST_PROBES = 4096
 #: Cells about a projection of more rows than this are dealt out in blocks of as many.
 HOT = 1 << 15
+#: Cells of bands that hold more than one in so many of the rows are dealt out too, if they have over LEAST_HOT.
+SHARE, LEAST_HOT = 512, 256
 #: Cost of comparing two fingerprints, against moving one probe.
 COMPARE = 0.02
 
@@ -216,8 +221,30 @@ def parities(hashes: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
 
 
+@cache
+def _band_hashes(bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """What each of bands * BAND_ROWS hash functions xors and multiplies with."""
+    seeds = np.arange(1, bands * BAND_ROWS + 1, dtype=np.uint64)[:, None]
+    return mixed(seeds, 1), mixed(seeds, 2) | np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray, bands: int) -> list[int]:
+    """A key for each band of a shingle_set: the least hashes by BAND_ROWS functions.
+
+    Two sets with a share s of their union in common agree in a band with
+    probability s ** BAND_ROWS: at 0.8, 24 bands miss 3 of a million pairs.
+    """
+    low = np.full(bands * BAND_ROWS, (1 << 64) - 1, np.uint64)
+    flip, times = _band_hashes(bands)
+    for at in range(0, len(hashes), 4096):
+        h = (hashes[None, at : at + 4096] ^ flip) * times
+        low = np.minimum(low, (h ^ (h >> np.uint64(32))).min(axis=1))
+    low = low.astype("<u8").reshape(bands, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in low], np.uint64).view(np.int64).tolist()
+
+
 def _pairs(rows: tuple[np.ndarray, ...], start: np.ndarray, most: int, least: float, parts: list[tuple[int, int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Links between the indexed rows of each cell and its later rows; a link that several cells find is given in one. start: the cells' first rows; indexed rows come first."""
+    """Links between the indexed rows of each cell and its later rows; a link that several cells find is given in one. start: the cells' first rows; indexed rows come first. Without parts, all rows of a cell are candidates."""
     part, probe, fp, node, root, *more = rows
     end = np.append(start[1:], len(fp))
     cell = np.searchsorted(start, np.arange(len(fp)), "right") - 1
@@ -235,26 +262,30 @@ def _pairs(rows: tuple[np.ndarray, ...], start: np.ndarray, most: int, least: fl
         near = np.flatnonzero((far <= most) & (root[left] != root[right]))
         left, right, far = left[near], right[near], far[near]
         both = (fp[left] ^ fp[right]).view(np.uint64)
-        first = np.full(len(left), -1)
-        for number, mask, limit in reversed(parts):
-            first[np.bitwise_count(both & np.uint64(mask)) <= limit] = number
-        own = (first == part[left]) & (~probe[right] | (node[left] < node[right]))
+        own = np.full(len(left), not parts)
+        if parts:
+            first = np.full(len(left), -1)
+            for number, mask, limit in reversed(parts):
+                first[np.bitwise_count(both & np.uint64(mask)) <= limit] = number
+            own = (first == part[left]) & (~probe[right] | (node[left] < node[right]))
         if more:
             size, *marks = more
             own &= np.minimum(size[left], size[right]) >= least * np.maximum(size[left], size[right])
             apart = sum(np.bitwise_count((x[left] ^ x[right]).view(np.uint64)).astype(np.int64) for x in marks)
             own &= apart <= (1 - least) / (1 + least) * (size[left].astype(np.int64) + size[right]) + 1e-6
+            # Forests take the likeliest links first.
+            far = far if parts else apart
         left, right, far = left[own], right[own], far[own]
         if len(left):
             x, y = node[left], node[right]
-            yield np.minimum(x, y), np.maximum(x, y), far.astype(np.int8)
+            yield np.minimum(x, y), np.maximum(x, y), far.astype(np.int16)
         at = to
 
 
 def verify(batches: Iterator[pa.RecordBatch], most: int, parts: list[tuple[int, int, int]], k: int = 1, least: float = 0.0) -> Iterator[pa.RecordBatch]:
     """Rows (part, key, block, probe, fp), sorted by them, to k forests of the links (a, b) that a task finds.
 
-    parts has each part's number, mask and threshold. Rows may go on with node,
+    parts has each part's number, mask and threshold; none, if all rows of a cell are candidates. Rows may go on with node,
     root, size and parities: then links are between nodes of different roots
     that can have `least` of their shingles in common by their sizes and
     parities, and a row (a, null) names each end of a link that the forests left
@@ -341,23 +372,48 @@ def links(prints: DataFrame, most: int, hot: int = HOT, k: int = 1, least: float
             now = large.where(F.col("part") == part).select("part", "key", "count", F.explode(flips).alias("flip"))
             met = now if met is None else met.unionAll(now)
         met = met.groupBy("part", F.col("key").bitwiseXOR(F.col("flip")).alias("key")).agg(F.ceil(F.sum("count") / hot).cast("long").alias("blocks"))
-        cells = cells.join(small(cut(met), 100_000), ["part", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
-        cells = cells.withColumn("home", F.pmod(F.xxhash64("fp" if len(own) == 1 else "node"), F.col("blocks")))
-        cells = cells.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        cells = cells.withColumn("block", F.least("home", "other") * F.col("blocks") + F.greatest("home", "other"))
+        cells = _in_blocks(cells, met, "fp" if len(own) == 1 else "node")
     parts = [(k_, sum(1 << b for b in bits), limit) for k_, (bits, limit) in enumerate(zip(groups, limits, strict=True)) if limit >= 0]
-    cells = cells.select("part", "key", "block", "probe", *own).repartition("part", "key", "block").sortWithinPartitions("part", "key", "block", "probe")
+    return _verified(cells.select("part", "key", "block", "probe", *own), most, parts, k, least)
+
+
+def _in_blocks(cells: DataFrame, met: DataFrame, by: str) -> DataFrame:
+    """cells with block: those in met (part, key, blocks) are cut into blocks by the hash of a column, and each two blocks meet."""
+    cells = cells.join(small(cut(met), 100_000), ["part", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    cells = cells.withColumn("home", F.pmod(F.xxhash64(by), F.col("blocks")))
+    cells = cells.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    return cells.withColumn("block", F.least("home", "other") * F.col("blocks") + F.greatest("home", "other"))
+
+
+def _verified(cells: DataFrame, most: int, parts: list[tuple[int, int, int]], k: int, least: float) -> DataFrame:
+    cells = cells.repartition("part", "key", "block").sortWithinPartitions("part", "key", "block", "probe")
     return cells.mapInArrow(lambda batches: verify(batches, most, parts, k, least), "a long, b long")
 
 
-def _mixed(batches: Iterator[pa.RecordBatch], width: int, times: int) -> Iterator[pa.RecordBatch]:
-    """Rows (node, text) to (node, how many different shingles, their parities, their first `times` fingerprints)."""
+def band_links(prints: DataFrame, hot: int = HOT, k: int = 1, least: float = 0.0) -> DataFrame:
+    """(a, b): links and further rows, as links() gives them, between nodes of prints (bands, node, root, size, parities) that agree in a band.
+
+    Cells of more than `hot` rows, or than one in SHARE of all rows, are cut
+    into blocks.
+    """
+    own = [c for c in prints.columns if c != "bands"]
+    cells = prints.select(F.posexplode("bands").alias("part", "key"), F.lit(False).alias("probe"), F.lit(0).cast("long").alias("fp"), *own)
+    bands = prints.select(F.sum(F.size("bands"))).first()[0] or 0
+    hot = min(hot, max(LEAST_HOT, bands // SHARE))
+    met = cut(cells.groupBy("part", "key").count().where(F.col("count") > hot)).select("part", "key", F.ceil(F.col("count") / hot).cast("long").alias("blocks"))
+    cells = cells.withColumn("block", F.lit(0)) if met.isEmpty() else _in_blocks(cells, met, "node")
+    return _verified(cells.select("part", "key", "block", "probe", "fp", *own), 0, [], k, least)
+
+
+def _mixed(batches: Iterator[pa.RecordBatch], width: int, times: int, bands: int) -> Iterator[pa.RecordBatch]:
+    """Rows (node, text) to (node, how many different shingles, their parities, their first `times` fingerprints, their keys in bands)."""
     for b in batches:
         sets = [shingle_set(x, width) for x in byte_values(b.column(1))]
         sizes, marks = pa.array(map(len, sets), pa.int32()), [parities(x) for x in sets]
         found = [set_fingerprints(x, times) for x in sets]
         columns = {"node": b.column(0), "size": sizes} | {f"mark{k}": pa.array([x[k] for x in marks], pa.int64()) for k in range(MARKS)}
-        yield pa.RecordBatch.from_pydict(columns | {f"fp{k}": pa.array([x[k] for x in found], pa.int64()) for k in range(times)})
+        columns |= {f"fp{k}": pa.array([x[k] for x in found], pa.int64()) for k in range(times)}
+        yield pa.RecordBatch.from_pydict(columns | {"bands": pa.array([band_keys(x, bands) for x in sets], pa.list_(pa.int64()))})
 
 
 def _alike(width: int, least: float):
@@ -394,11 +450,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, most: int = 4, hot: int = H
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def similar(docs: DataFrame, width: int = 5, most: int = 9, least: float = 0.8, times: int = 2, hot: int = HOT) -> DataFrame:
-    """(doc_id, component_id) for each row of docs (doc_id, text): near-duplicates by fingerprints, each link held against the texts.
+def similar(docs: DataFrame, width: int = 5, most: int = 9, least: float = 0.8, times: int = 2, hot: int = HOT, bands: int = 0) -> DataFrame:
+    """(doc_id, component_id) for each row of docs (doc_id, text): near-duplicates by fingerprints or bands, each link held against the texts.
 
     Texts link if one of their `times` independent fingerprints differs in at
-    most `most` bits and they have `least` of their shingles in common; several
+    most `most` bits, or one of their `bands` keys is the same, and they have `least` of their shingles in common; several
     fingerprints reach pairs that one misses by chance. A text's fingerprints
     are of its different shingles, as is the similarity; those after the first
     are of their hashes, mixed once more.
@@ -415,13 +471,16 @@ def similar(docs: DataFrame, width: int = 5, most: int = 9, least: float = 0.8,
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"), F.col("text"))
     names, marks = [f"fp{k}" for k in range(times)], [f"mark{k}" for k in range(MARKS)]
-    one = cut(lean(texts.select("node", "text")).mapInArrow(lambda batches: _mixed(batches, width, times), ", ".join(["node long", "size int", *(f"{x} long" for x in marks + names)])).distinct())
+    one = cut(lean(texts.select("node", "text")).mapInArrow(lambda batches: _mixed(batches, width, times, bands), ", ".join(["node long", "size int", *(f"{x} long" for x in marks + names), "bands array<long>"])).dropDuplicates(["node"]))
     live, roots, edges, tested, k = one.withColumn("root", F.col("node")), None, None, None, 1
     while True:
         found = None
         for name in names:
             now = links(live.select(F.col(name).alias("fp"), "node", "root", "size", *marks), most, hot, k, least)
             found = now if found is None else found.unionAll(now)
+        if bands:
+            now = band_links(live.select("bands", "node", "root", "size", *marks), hot, k, least)
+            found = now if found is None else found.unionAll(now)
         found = cut(found.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
         pairs = found.where("v is not null")
         if tested is not None:

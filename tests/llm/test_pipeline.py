@@ -1,5 +1,7 @@
 """The pipeline's stages on a small table."""
 
+import random
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -23,3 +25,19 @@ def test_stages(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in out.select("doc_id").collect()} == set(seen["mix_sources"])
     assert out.where(~F.col("lossless")).count() == 0
+
+
+def test_near_dedup_finds_lone_pairs(spark):
+    r = random.Random(9)
+    docs, sets = [], []
+    for i in range(150):
+        words = [str(r.randrange(10**6)) for _ in range(300)]
+        more = list(words)
+        for at in r.sample(range(300), 5 + i % 4):
+            more[at] = "changed"
+        docs += [(2 * i, " ".join(words), "en", "s", 0), (2 * i + 1, " ".join(more), "en", "s", 0)]
+        sets += [{tuple(w[k : k + 5]) for k in range(296)} for w in (words, more)]
+    alike = {2 * i + 1 for i in range(150) if len(sets[2 * i] & sets[2 * i + 1]) >= 0.8 * len(sets[2 * i] | sets[2 * i + 1])}
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert {d[0] for d in docs} - {row["doc_id"] for row in got.collect()} == alike
+    assert 60 < len(alike) < 150
