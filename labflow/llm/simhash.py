@@ -469,7 +469,15 @@ def similar(docs: DataFrame, width: int = 5, most: int = 9, least: float = 0.8,
 
     component_id is as for near_duplicates. Null, empty and blank texts are alike.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"), F.col("text"))
+    roots = text_roots(docs, width, most, least, times, hot, bands)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node")).join(roots, "node")
+    low = cut(ids.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    return ids.join(low, "root").select("doc_id", "component_id")
+
+
+def text_roots(docs: DataFrame, width: int, most: int, least: float, times: int, hot: int = HOT, bands: int = 0) -> DataFrame:
+    """(node, root) for each different text of docs (text): its XXH64, and the one that names its group; the links are similar()'s."""
+    texts = docs.select(F.xxhash64("text").alias("node"), F.col("text"))
     names, marks = [f"fp{k}" for k in range(times)], [f"mark{k}" for k in range(MARKS)]
     one = cut(lean(texts.select("node", "text")).mapInArrow(lambda batches: _mixed(batches, width, times, bands), ", ".join(["node long", "size int", *(f"{x} long" for x in marks + names), "bands array<long>"])).dropDuplicates(["node"]))
     live, roots, edges, tested, k = one.withColumn("root", F.col("node")), None, None, None, 1
@@ -498,9 +506,7 @@ def similar(docs: DataFrame, width: int = 5, most: int = 9, least: float = 0.8,
             break
         live = cut(one.join(left, "node", "left_semi").join(roots, "node"))
         tested, k = pairs if tested is None else cut(tested.unionAll(pairs)), k * MORE
-    ids = texts.select("doc_id", "node").join(roots, "node")
-    low = cut(ids.groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    return ids.join(low, "root").select("doc_id", "component_id")
+    return roots
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

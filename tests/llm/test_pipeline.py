@@ -41,3 +41,13 @@ def test_near_dedup_finds_lone_pairs(spark):
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), "")
     assert {d[0] for d in docs} - {row["doc_id"] for row in got.collect()} == alike
     assert 60 < len(alike) < 150
+
+
+def test_near_dedup_decides_by_row(spark):
+    r = random.Random(10)
+    a, b, c, d, e = (" ".join(str(r.randrange(10**6)) for _ in range(100)) for _ in range(5))
+    docs = [(1, a), (2, a), (2, b), (2, c), (2, c), (None, d), (None, d), (None, d + " more"), (None, a), (3, e), (None, e), (4, None), (None, None), (4, "")]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
+    texts = [(row["doc_id"], row["text"] or "") for row in got]
+    assert sorted(map(str, (x for x in texts if x[0] is not None))) == sorted(map(str, [(1, a), (2, b), (2, c), (3, e), (4, "")]))
+    assert [x for x in texts if x[0] is None] in ([(None, d)], [(None, d + " more")])
