@@ -23,7 +23,7 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 CLEAR, END, FIRST, MOST_CODE = 256, 257, 258, 4094
 
 #: Samples in a row, and rows of a page, a strip and a tile, of what the query stores; texts of up to so many bytes may be stored by LZW.
-ROW, PAGE_ROWS, STRIP_ROWS, TILE_ROWS, LZW_MOST = 64, 4096, 256, 64, 2048
+ROW, PAGE_ROWS, STRIP_ROWS, TILE_ROWS = 64, 4096, 256, 64
 
 
 def packbits(data: bytes) -> bytes:
@@ -273,7 +273,7 @@ def store(data: bytes) -> tuple[bytes, int]:
     """
     payload = data + b"\0" * (-len(data) % ROW if data else ROW)
     crc = zlib.crc32(payload)
-    compression = (DEFLATE, PACKBITS, LZW if len(payload) <= LZW_MOST else DEFLATE, NONE)[crc & 3]
+    compression = (DEFLATE, PACKBITS, LZW, NONE)[crc & 3]
     grey = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
     sheets = [grey[i : i + PAGE_ROWS] for i in range(0, len(grey), PAGE_ROWS)]
     return write(sheets, compression, 2 if crc & 4 and compression in (LZW, DEFLATE) else 1, (TILE_ROWS, ROW) if crc & 8 else None), len(payload)

@@ -330,6 +330,20 @@ def test_codecs():
             assert tiff.unpackbits(tiff.packbits(data), len(data)) == data and tiff.unlzw(tiff.lzw(data), len(data)) == data
 
 
+def test_tiff_compression_by_crc_at_every_size():
+    seen = set()
+    for n in (10, 3000, 5000, 40_000, 300_000):
+        for k in range(40 if n <= 5000 else 8):
+            data = random.Random(n + k).randbytes(n // 2) + b"words and words " * (n // 32)
+            payload = data + b"\0" * (-len(data) % 64)
+            media, size = tiff.store(data)
+            found = list(tiff.read(media))
+            assert {p.compression for p in found} == {(tiff.DEFLATE, tiff.PACKBITS, tiff.LZW, tiff.NONE)[zlib.crc32(payload) & 3]}
+            assert size == len(payload) and b"".join(p.data.tobytes() for p in found) == payload
+            seen.add((n, found[0].compression))
+    assert {n for n, c in seen if c == tiff.LZW} >= {3000, 5000}
+
+
 def test_tiff_pages(spark, docs, none):
     good = tiff.write([np.ones((2, 3), np.uint8)] * 2)
     files = spark.createDataFrame([(1, bytearray(good), "x"), (2, None, "x"), (3, bytearray(b"junk"), "x"), (4, bytearray(good[:20]), "x")], "id long, content binary, width string")
