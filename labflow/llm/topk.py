@@ -16,10 +16,11 @@ BLOCK, PIVOTS, SAMPLE = 4096, 16, 1024
 
 
 def integers(embedding: Column) -> Column:
-    """floor(64 * x) of each component as a long array; null for vectors that are null, empty, or hold null or non-finite components."""
+    """floor(64 * x) of each component as a long array; null for vectors that are null, empty, or hold null or non-finite components. Finite ones that a long can't hold raise an error."""
     wide = F.transform(embedding, lambda x: x.cast("double"))
-    fine = F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(1e15)))
-    return F.when(embedding.isNotNull() & (F.size(embedding) > 0) & fine, F.transform(wide, lambda x: F.floor(x * 64).cast("long")))
+    fine = F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    whole = lambda x: F.when((x * 64 >= -(2.0**63)) & (x * 64 < 2.0**63), F.floor(x * 64).cast("long")).otherwise(F.raise_error(F.lit("a component times 64 is beyond a long")).cast("long"))
+    return F.when(embedding.isNotNull() & (F.size(embedding) > 0) & fine, F.transform(wide, whole))
 
 
 def choose_pivots(vectors: np.ndarray, n: int) -> np.ndarray:
@@ -30,17 +31,17 @@ def choose_pivots(vectors: np.ndarray, n: int) -> np.ndarray:
     chosen = []
     for _ in range(min(n, len(vectors))):
         chosen.append(at)
-        far = np.minimum(far, ((vectors - vectors[at]).astype(float) ** 2).sum(axis=1))
+        far = np.minimum(far, ((vectors.astype(float) - vectors[at].astype(float)) ** 2).sum(axis=1))
         at = int(far.argmax())
     return vectors[chosen]
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(((x[:, None, :] - pivots[None, :, :]).astype(float) ** 2).sum(axis=2)) if len(x) * len(pivots) else np.zeros((len(x), len(pivots)))
+    return np.sqrt(((x[:, None, :].astype(float) - pivots[None, :, :].astype(float)) ** 2).sum(axis=2)) if len(x) * len(pivots) else np.zeros((len(x), len(pivots)))
 
 
 def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Each query's k best of the candidates, by score and then smaller id; its own id is no candidate.
+    """Each query's k best of the candidates, by score and then smaller id; its own id is no candidate. Scores that a long can't hold raise an error.
 
     |d(q, p) - d(x, p)| bounds the distance of q and x from below for each pivot
     p, and so their inner product, (|q|^2 + |x|^2 - d^2) / 2, from above.
@@ -49,17 +50,21 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
     """
     table_x = np.concatenate([_distances(x[i : i + 256], pivots) for i in range(0, len(x), 256)]).T.copy()
     table_q = _distances(q, pivots)
-    norm_x, norm_q = (x * x).sum(axis=1), (q * q).sum(axis=1)
-    # Products of floats are exact below 2^53.
-    exact = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1] < 2**52
-    values = x.astype(np.float64) if exact else x
+    fine_x, fine_q = x.astype(float), q.astype(float)
+    norm_x, norm_q = (fine_x * fine_x).sum(axis=1), (fine_q * fine_q).sum(axis=1)
+    norm_p = np.sqrt((pivots.astype(float) ** 2).sum(axis=1))
+    # Products of floats are exact below 2^53, those of longs below 2^63.
+    most = float(np.abs(fine_x).max(initial=0)) * float(np.abs(fine_q).max(initial=0)) * x.shape[1]
+    kind = np.dtype(np.float64 if most < 2**52 else np.int64 if most < 2**62 else object)
+    values = x.astype(kind)
     for i, own in enumerate(query_ids.tolist()):
-        low = np.abs(table_x - table_q[i][:, None]).max(axis=0) if len(pivots) else np.zeros(len(x))
+        # Less what rounding can make of the distances.
+        slack = 1e-12 * (table_x + (table_q[i] + norm_p)[:, None])
+        low = np.maximum(np.abs(table_x - table_q[i][:, None]) - slack, 0).max(axis=0) if len(pivots) else np.zeros(len(x))
         bound = (norm_x + norm_q[i] - low * low) / 2
         bound += 1e-9 * (norm_x + norm_q[i]) + 1e-6
         bound[ids == own] = -np.inf
-        v = values.dtype.type
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0, v)
+        best_ids, best = np.zeros(0, np.int64), np.zeros(0, kind)
         size, rest = max(64, 2 * k), np.flatnonzero(bound > -np.inf)
         while len(rest):
             if len(rest) > size:
@@ -67,13 +72,15 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
                 now, rest = rest[split[:size]], rest[split[size:]]
             else:
                 now, rest = rest, rest[:0]
-            best = np.concatenate([best, values[now] @ q[i].astype(v)])
+            best = np.concatenate([best, values[now] @ q[i].astype(kind)])
             best_ids = np.concatenate([best_ids, ids[now]])
-            order = np.lexsort((best_ids, -best))[:k]
+            order = np.lexsort((best_ids, -best))[:k] if kind != object else np.array(sorted(range(len(best)), key=lambda j: (-best[j], best_ids[j]))[:k], int)
             best, best_ids = best[order], best_ids[order]
             if len(best) == k:
-                rest = rest[bound[rest] >= best[-1]]
+                rest = rest[bound[rest] >= float(best[-1])]
             size *= 4
+        if kind == object and any(not -(1 << 63) <= s < 1 << 63 for s in best):
+            raise OverflowError(f"a score of query {own} is beyond a long")
         yield own, best_ids, best
 
 
@@ -81,20 +88,21 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, block: int = BLOCK)
     """(query_id, rank, vec_id, score): each query's k highest inner products with other rows of vectors (vec_id, embedding).
 
     Components count as floor(64 * x). Rows with a null vec_id, or a vector that
-    is null, empty or holds null or non-finite components, take no part. Rows of
-    one vec_id count once, with the least vector; a query meets only vectors of
-    its own dimension. Fewer candidates than k give fewer rows, no rows none.
+    is null, empty or holds null or non-finite components, take no part. Every
+    other row is a candidate, repeated vec_ids included, and a query is all rows
+    of its vec_id; it meets only vectors of its own dimension, of other vec_ids.
+    Components and scores that a long can't hold raise an error. Fewer candidates than k give fewer rows, no rows none.
     Queries and candidates meet in blocks of about `block` each.
     """
     own = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), integers(F.col("embedding")).alias("v"), queries.alias("is_query"))
-    rows = cut(own.where("v is not null").groupBy("vec_id").agg(F.min("v").alias("v"), F.max("is_query").alias("is_query")).withColumn("dim", F.size("v")))
+    rows = cut(own.where("v is not null").withColumn("dim", F.size("v")))
     sizes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_query").cast("long")).alias("m")).agg(F.max("n"), F.max("m")).first()
     parts, query_parts = (max(1, -(-(x or 0) // block)) for x in sizes)
-    by_hash = F.xxhash64("vec_id")
+    by_hash = F.xxhash64("vec_id", "v")
     sample = rows.orderBy(by_hash, "vec_id").limit(SAMPLE).select("v").collect()
     pivots = {d: choose_pivots(np.array([r[0] for r in sample if len(r[0]) == d], np.int64), PIVOTS) for d in {len(r[0]) for r in sample}}
     part = F.pmod(by_hash, F.lit(parts))
-    query_part = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_parts))
+    query_part = F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(query_parts))
     wide = rows.select("vec_id", "v", "dim", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("query_part"), F.lit(False).alias("asks"))
     asked = rows.where("is_query").select("vec_id", "v", "dim", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), query_part.alias("query_part"), F.lit(True).alias("asks"))
 

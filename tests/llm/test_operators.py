@@ -373,6 +373,25 @@ def test_top_k_as_brute_force(spark):
     assert topk.top_k(rows.where("vec_id = 240"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_keeps_every_row(spark):
+    r = np.random.default_rng(4)
+    rows = [(i % 60, r.integers(-1, 2, 5).astype(float).tolist()) for i in range(120)]
+    rows += [(7, rows[7][1]), (61, [2e15, 0.0, 0.0, 0.0, 0.0]), (62, [-2e15, 1.0, 0.0, 0.0, 0.0]), (63, [1e15, 1e15, 1.0, 0.0, 0.0]), (64, [float("inf")] * 5)]
+    fixed = [(i, [int(64 * x) for x in v]) for i, v in rows if i != 64]
+    got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 130, block=32).collect()))
+    want = []
+    for q in (0, 20, 40):
+        score = sorted((-sum(a * b for a, b in zip(p, v, strict=True)), i) for j, p in fixed if j == q for i, v in fixed if i != q)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(score[:130])]
+    assert got == want
+
+
+def test_top_k_beyond_a_long(spark):
+    for rows in ([(0, [1e17, 1.0]), (1, [1e17, 1.0])], [(0, [1.0]), (1, [1e18])]):
+        with pytest.raises(Exception, match="beyond a long"):
+            topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+
+
 @pytest.mark.parametrize("rule", tokencounts.RULES)
 def test_section_tokens(reference, docs, none, rule):
     path, pattern, other = reference
