@@ -18,8 +18,8 @@ MOST_TRAIN = 20_000
 BUCKETS, PRIOR = 1 << 16, 0.1
 #: Words of a document that count as one draw from its mixture.
 UNIT = 8
-#: Rounds of EM; the most languages of a document; penalty of each in the log-likelihood, times half the log of its units.
-ROUNDS, MOST_LANGS, PENALTY = 6, 3, 4.0
+#: Rounds of EM; penalty of each language of a document in the log-likelihood, times half the log of its units.
+ROUNDS, PENALTY = 6, 4.0
 #: Characters that are scored at once.
 AT_ONCE = 1_000_000
 UNDECIDED = "und"
@@ -82,9 +82,8 @@ def fit(docs: DataFrame, most: int = MOST_TRAIN) -> tuple[list[str], np.ndarray]
 def _mixtures(like: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Proportions of languages, for documents whose units' log-likelihoods (unit, language) begin at start.
 
-    EM over all languages ranks them; then the best one alone and the leading
-    two and three are fitted, and the set of the highest penalised likelihood
-    stays. Also whether each document has any unit at all: all have.
+    EM over all languages ranks them; then the leading sets of every size are
+    fitted, and the one of the highest penalised likelihood stays. Also whether each document has any unit at all: all have.
     """
     docs, langs = len(start), like.shape[1]
     sizes = np.diff(np.append(start, len(like)))
@@ -104,7 +103,7 @@ def _mixtures(like: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarr
     share, _ = em(np.full((docs, langs), 1 / langs), ROUNDS)
     order = np.argsort(-share, axis=1, kind="stable")
     best_value, best = np.full(docs, -np.inf), share
-    for k in range(1, min(MOST_LANGS, langs) + 1):
+    for k in range(1, langs + 1):
         allowed = np.zeros((docs, langs))
         np.put_along_axis(allowed, order[:, :k], 1.0, axis=1)
         own, value = em(allowed / k, ROUNDS if k > 1 else 0)

@@ -278,6 +278,20 @@ def test_language_id(spark, none):
     assert langid.identify(none, langs, model).count() == 0
 
 
+def test_four_languages_in_a_text(spark):
+    r = random.Random(12)
+    letters = {"aa": "abcdef", "bb": "ghijkl", "cc": "mnopqr", "dd": "stuvwx", "ee": "yzßäöü"}
+    vocabulary = {k: ["".join(r.choice(v) for _ in range(5)) for _ in range(50)] for k, v in letters.items()}
+    text = lambda lang, n: " ".join(r.choice(vocabulary[lang]) for _ in range(n)) + " "
+    taught = [(i, text(lang, 100), lang) for i, lang in enumerate([*letters] * 10)]
+    rows = [(100, "".join(text(x, 200) for x in ("aa", "bb", "cc", "dd")), None), (101, text("aa", 400) + "".join(text(x, 200) for x in ("bb", "cc", "dd")), None)]
+    docs = spark.createDataFrame(taught + rows, "doc_id long, text string, lang string")
+    got = {row["doc_id"]: row for row in langid.identify(docs, *langid.fit(docs)).collect()}
+    for i, share in ((100, 0.25), (101, 0.4)):
+        assert set(got[i]["lang_shares"]) == {"aa", "bb", "cc", "dd"} and abs(got[i]["score"] - share) < 0.02
+    assert all(set(got[i]["lang_shares"]) == {lang} for i, _, lang in taught)
+
+
 def test_toxicity(spark, none):
     good = [(i, sentence(30)) for i in range(60)] + [(60 + i, sentence(10) + " grumbly bear " + sentence(5)) for i in range(30)]
     bad = [(100 + i, sentence(20) + " grumbly person " + random.choice(["vilest", "v1lest", "vіlest"]) + " " + sentence(3)) for i in range(60)]
