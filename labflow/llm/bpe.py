@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -17,36 +19,145 @@ from pyspark.sql import functions as F
 
 from labflow.llm.common import lean, table
 
-#: Pieces of text, pre-tokens and first pieces that a worker remembers at once (twice as many with the generation before).
-MOST_PIECES, MOST_TOKENS, MOST_HEADS, LONGEST = 100_000, 200_000, 10_000, 64
-#: Characters that are encoded at once.
-AT_ONCE = 2_000_000
-#: A single blank between two characters that are no white space: no match of the pattern reaches over it.
+#: The pattern whose matches are found for a whole batch at once; those of any other are found text by text.
+PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pre-tokens that a worker remembers at once, about (twice as many with the generation before); bytes of one that is remembered, and of one that shares a queue.
+MOST_WORDS, SHORT, LONGEST = 1_000_000, 23, 64
+#: Characters that are encoded at once, and ids that are spelled at once.
+AT_ONCE, IDS = 4_200_000, 1 << 18
+#: A single blank between two characters that are no white space: no match of PLAIN reaches over it.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-ODD = re.compile(r"\s | \s|^ | $")
 
 
-class Memo:
-    """What a function of many keys gave, for the keys of the last two generations."""
+@cache
+def _kinds() -> np.ndarray:
+    """What each code point is to PLAIN: 0 white space but the blank, 1 the blank, 2 a letter, 3 a number, 4 any other."""
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+    kinds = np.full(0x110000, 4, np.uint8)
+    for kind, pattern in ((2, r"\p{L}+"), (3, r"\p{N}+"), (0, r"\s+")):
+        for m in regex.finditer(pattern, every):
+            kinds[ord(every[m.start()]) : ord(every[m.end() - 1]) + 1] = kind
+    kinds[32] = 1
+    return kinds
 
-    def __init__(self, function: Callable[[list[str]], list[bytes]], most: int):
-        self.function, self.most, self.new, self.old = function, most, {}, {}
-        self.long: list[str] = []
 
-    def __call__(self, keys: set[str]) -> dict[str, bytes]:
-        """A table with the value of each key, good until the next call; long keys aren't kept."""
-        for k in self.long:
-            self.new.pop(k, None)
-        rest = keys.difference(self.new)
-        if len(self.new) + len(rest) > self.most:
-            self.old, self.new = self.new, {}
-            rest = keys
-        again = rest.intersection(self.old)
-        self.new.update((k, self.old[k]) for k in again)
-        made = list(rest.difference(again))
-        self.new.update(zip(made, self.function(made), strict=True))
-        self.long = [k for k in made if len(k) > LONGEST]
-        return self.new
+def match_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the matches of PLAIN begin in texts that follow each other.
+
+    points: their code points; first: whether a text begins there. Matches are
+    runs of letters, of numbers and of other signs, each with a blank before it,
+    the white space before that, and the seven endings after an apostrophe.
+    """
+    kinds = _kinds()[points]
+    white = kinds < 2
+    group = np.where(white, 0, kinds)
+    begins = first.copy()
+    begins[1:] |= group[1:] != group[:-1]
+    behind = np.flatnonzero(begins & ~white & ~first)
+    behind = behind[white[behind - 1]]
+    begins[behind - 1] = True
+    begins[behind[kinds[behind - 1] == 1]] = False
+    n = len(points)
+    quote = np.flatnonzero(begins & (points == ord("'")))
+    quote = quote[quote + 1 < n]
+    quote = quote[~first[quote + 1]]
+    one, two = points[quote + 1], points[np.minimum(quote + 2, n - 1)]
+    more = (quote + 2 < n) & ~first[np.minimum(quote + 2, n - 1)]
+    is_ = lambda c, letters: np.isin(c, [ord(x) for x in letters])
+    long = more & ((is_(one, "rv") & is_(two, "e")) | (is_(one, "l") & is_(two, "l")))
+    for at, width in ((quote[is_(one, "stmd")], 2), (quote[long], 3)):
+        begins[at + 1] = False
+        begins[(at + width)[at + width < n]] = True
+    return np.flatnonzero(begins)
+
+
+class _Words:
+    """Ids of words of up to SHORT bytes: an open hash table whose keys are the words' own bytes, three 64-bit numbers each."""
+
+    def __init__(self) -> None:
+        self.n, self.used = 0, 0
+        self.keys = np.zeros((3, 1024), np.uint64)
+        self.starts, self.counts, self.ids = np.zeros(1024, np.int32), np.zeros(1024, np.uint8), np.zeros(4096, np.uint32)
+        self.slots = np.full(4096, -1, np.int32)
+
+    def copy(self) -> _Words:
+        out = _Words()
+        out.__dict__.update((k, v.copy() if isinstance(v, np.ndarray) else v) for k, v in self.__dict__.items())
+        return out
+
+    @staticmethod
+    def hashes(keys: np.ndarray) -> np.ndarray:
+        h = keys[0] * np.uint64(0x9E3779B97F4A7C15) ^ keys[1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ keys[2] * np.uint64(0x165667B19E3779F9)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(29))
+
+    def find(self, keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        mask = len(self.slots) - 1
+        out = np.full(len(hashes), -1, np.int32)
+        at, todo = (hashes & np.uint64(mask)).astype(np.int64), np.arange(len(hashes))
+        while len(todo):
+            place = self.slots[at]
+            some = place >= 0
+            if not some.all():
+                todo, at, place = todo[some], at[some], place[some]
+            same = (self.keys[0][place] == keys[0][todo]) & (self.keys[1][place] == keys[1][todo]) & (self.keys[2][place] == keys[2][todo])
+            out[todo[same]] = place[same]
+            todo, at = todo[~same], (at[~same] + 1) & mask
+        return out
+
+    def room(self, ids: int) -> None:
+        while self.used + ids > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) // 2 + ids, np.uint32)])
+
+    def _place(self, hashes: np.ndarray, places: np.ndarray) -> None:
+        mask = len(self.slots) - 1
+        at = (hashes & np.uint64(mask)).astype(np.int64)
+        while len(at):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = places[free]
+            lost = self.slots[at] != places
+            at, places = (at[lost] + 1) & mask, places[lost]
+
+    def add(self, keys: np.ndarray, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The places of new keys, each once, with their ids."""
+        m, n = len(hashes), self.n
+        if n + m > len(self.starts):
+            wider = lambda x, size: np.concatenate([x, np.zeros((*x.shape[:-1], size), x.dtype)], axis=-1)
+            more = max(n + m - len(self.starts), len(self.starts) // 2)
+            self.keys, self.starts, self.counts = wider(self.keys, more), wider(self.starts, more), wider(self.counts, more)
+        self.room(len(ids))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.keys[:, n : n + m] = keys
+        self.counts[n : n + m] = counts
+        self.starts[n : n + m] = self.used + np.cumsum(counts) - counts
+        self.n, self.used = n + m, self.used + len(ids)
+        places = np.arange(n, n + m, dtype=np.int32)
+        if 2 * self.n > len(self.slots):
+            self.slots = np.full(1 << (3 * self.n).bit_length(), -1, np.int32)
+            self._place(self.hashes(self.keys[:, : self.n]), np.arange(self.n, dtype=np.int32))
+        else:
+            self._place(hashes, places)
+        return places
+
+
+#: Masks that keep the first so many bytes of a word of eight.
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def word_keys(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of words of up to SHORT bytes, and how many, as three numbers each."""
+    padded = data + b"\0" * 32
+    eight = np.ndarray((len(padded) - 7,), np.dtype("<u8"), padded, 0, (1,))
+    out = np.stack([eight[starts + k] & _KEEP[np.clip(sizes - k, 0, 8)] for k in (0, 8, 16)])
+    out[2] |= sizes.astype(np.uint64) << np.uint64(56)
+    return out
+
+
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each count."""
+    ends = np.cumsum(counts, dtype=np.int64)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
 class Codec:
@@ -67,17 +178,24 @@ class Codec:
         by_id = [b""] * self.size
         for token, rank in self.tokens.items():
             by_id[rank] = token
-        self.spelled, self.numbers = _Spelling(by_id), _Spelling([b"%d," % i for i in range(self.size)])
+        self.spelled = _Spelling(by_id)
         self.lengths = self.spelled.lengths
-        self.find = regex.compile(pattern).findall
-        self.pre_tokens = Memo(self._merged, MOST_TOKENS)
-        self.pieces = Memo(self._found, MOST_PIECES)
-        self.heads = Memo(lambda heads: self._found(heads, ""), MOST_HEADS)
+        if self.size > 10**7:
+            raise ValueError("ids of more than seven digits")
+        self.numbers = np.array([b"%d," % i for i in range(self.size)], "S8").view("<u8")
+        self.find = None if pattern == PLAIN else regex.compile(pattern).finditer
         self.byte_ids = np.array(self.bytes, np.int64)
         self.keys = np.array(sorted(self.pairs), np.int64)
         self.ranks = np.array([self.pairs[k] for k in self.keys.tolist()], np.int64)
         own = self.byte_ids
         self.byte_pairs = self._rank(own[:, None] << 32 | own[None, :])
+        # A word that is a token is that token, whatever its bytes would merge to.
+        short = [t for t in self.tokens if len(t) <= SHORT]
+        sizes = np.fromiter(map(len, short), np.int64, len(short))
+        keys = word_keys(b"".join(short), np.cumsum(sizes) - sizes, sizes)
+        self.base = _Words()
+        self.base.add(keys, _Words.hashes(keys), np.array([self.tokens[t] for t in short], np.uint32), np.ones(len(short), np.uint8))
+        self.known, self.before = self.base.copy(), self.base
 
     def _rank(self, pairs: np.ndarray) -> np.ndarray:
         """The rank of each pair (left id << 32 | right id), or -1."""
@@ -166,24 +284,29 @@ class Codec:
                     break
         return [x for x in ids if x >= 0]
 
-    def merge_all(self, words: list[bytes]) -> list[bytes]:
-        """merge() of many short words by one queue; the ids as the bytes of uint32.
+    def merge_all(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """merge() of many short words, given as spans of data, by one queue: their ids one after the other, and how many each has.
 
         All words lie in one linked list, parted by an id that pairs with none.
         Popping a rank handles its leftmost position in every word at once; what
         a word has beyond that waits again, behind any lower rank that came up.
         """
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        data = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
         ends = np.cumsum(sizes + 1) - 1
-        n = len(data)
-        ids = self.byte_ids[data]
+        n = int(ends[-1]) + 1 if len(ends) else 0
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        word_of = np.repeat(np.arange(len(sizes)), sizes + 1)
+        held = np.zeros(n, np.uint8)
+        inside = np.ones(n, bool)
+        inside[ends] = False
+        held[inside] = data[np.repeat(starts, sizes) + _within(sizes)]
+        ids = self.byte_ids[held]
         ids[ends] = self.size
         after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
-        word_of = np.repeat(np.arange(len(words)), sizes + 1)
         rank = np.full(n, -1)
-        rank[:-1] = self.byte_pairs[data[:-1], data[1:]]
-        rank[ends] = rank[ends - 1] = -1
+        rank[:-1] = self.byte_pairs[held[:-1], held[1:]]
+        rank[ends] = -1
+        rank[ends[sizes > 0] - 1] = -1
         buckets: dict[int, list[int]] = {}
         lower, upper = [0] * ((self.size >> 8) + 1), 0
         first = np.flatnonzero(rank >= 0)
@@ -209,7 +332,8 @@ class Codec:
             if len(pos) > 1:
                 pos.sort()
                 w = word_of[pos]
-                leftmost = np.append(True, w[1:] != w[:-1])
+                leftmost = np.ones(len(w), bool)
+                np.not_equal(w[1:], w[:-1], out=leftmost[1:])
                 if not leftmost.all():
                     buckets[r] = pos[~leftmost].tolist()
                     lower[cell] |= 1 << (r & 255)
@@ -231,55 +355,92 @@ class Codec:
                 else:
                     bucket.append(at)
         keep = (ids >= 0) & (ids != self.size)
-        out = ids[keep].astype(np.uint32).tobytes()
-        to = (np.cumsum(np.bincount(word_of[keep], minlength=len(words))) * 4).tolist()
-        return [out[a:b] for a, b in zip([0, *to[:-1]], to, strict=True)]
-
-    def _merged(self, pre_tokens: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        words, places = [], []
-        for i, x in enumerate(pre_tokens):
-            data = x.encode()
-            whole = self.tokens.get(data)
-            if whole is not None:
-                out.append(np.uint32(whole).tobytes())
-            elif len(data) > LONGEST:
-                out.append(np.array(self.merge(data), np.uint32).tobytes())
-            else:
-                out.append(b"")
-                words.append(data)
-                places.append(i)
+        return ids[keep].astype(np.uint32), np.bincount(word_of[keep], minlength=len(sizes))
+
+    def _spans(self, texts: list[str], whole: str, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where in data the pre-tokens begin, their bytes, and how many each text has."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(sizes)
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        upto = np.zeros(len(points) + 1, np.int64 if len(data) >> 31 else np.int32)
+        np.cumsum(1 + (points > 0x7F).astype(np.uint8) + (points > 0x7FF) + (points > 0xFFFF), out=upto[1:])
+        if self.find is None:
+            first = np.zeros(len(points), bool)
+            first[(ends - sizes)[sizes > 0]] = True
+            begins = match_starts(points, first) if len(points) else np.zeros(0, np.int64)
+            starts = upto[begins].astype(np.int64)
+            return starts, np.diff(np.append(starts, len(data))), np.diff(np.searchsorted(begins, ends), prepend=0)
+        found = [[m.span() for m in self.find(x) if m.end() > m.start()] for x in texts]
+        counts = np.fromiter(map(len, found), np.int64, len(texts))
+        spans = np.array(list(chain.from_iterable(found)), np.int64).reshape(-1, 2) + np.repeat(ends - sizes, counts)[:, None]
+        starts = upto[spans[:, 0]].astype(np.int64)
+        return starts, upto[spans[:, 1]] - starts, counts
+
+    def _flush(self, texts: list[str]) -> list[np.ndarray]:
+        whole = "".join(texts)
+        data = whole.encode()
+        starts, sizes, per_text = self._spans(texts, whole, data)
+        if self.known.n > MOST_WORDS + self.base.n:
+            self.known, self.before = self.base.copy(), self.known
+        known, flat = self.known, np.frombuffer(data, np.uint8)
+        short = np.flatnonzero(sizes <= SHORT)
+        keys = word_keys(data, starts[short], sizes[short])
+        hashes = _Words.hashes(keys)
+        place = known.find(keys, hashes)
+        # The words that aren't remembered, each once (but for two of one hash).
+        new = np.flatnonzero(place < 0)
+        _, one, of = np.unique(hashes[new], return_index=True, return_inverse=True)
+        odd = (keys[:, new] != keys[:, new[one[of]]]).any(axis=0)
+        one, alone = new[one], new[odd]
+        old = self.before.find(keys[:, one], hashes[one])
+        again = one[old >= 0]
+        old = old[old >= 0].astype(np.int64)
+        if len(again):
+            counts = self.before.counts[old].astype(np.int64)
+            known.add(keys[:, again], hashes[again], self.before.ids[np.repeat(self.before.starts[old], counts) + _within(counts)], counts)
+        one = one[known.find(keys[:, one], hashes[one]) < 0]
+        # Words of up to LONGEST bytes share a queue; longer ones have their own.
+        rest = np.concatenate([short[alone], np.flatnonzero(sizes > SHORT)])
+        words = [data[a : a + n] for a, n in zip(starts[rest].tolist(), sizes[rest].tolist(), strict=True)]
+        own = {w: np.array([self.tokens[w]] if w in self.tokens else self.merge(w), np.uint32) for w in set(words) if w in self.tokens or len(w) > LONGEST}
+        some = list({w: i for w, i in zip(words, rest.tolist(), strict=True) if w not in own}.items())
+        spans = np.concatenate([short[one], np.array([i for _, i in some], np.int64)])
+        ids, counts = self.merge_all(flat, starts[spans], sizes[spans])
+        upto = np.cumsum(counts)
+        at = int(upto[len(one) - 1]) if len(one) else 0
+        known.add(keys[:, one], hashes[one], ids[:at], counts[: len(one)])
+        own.update(zip((w for w, _ in some), np.split(ids[at:], upto[len(one) : -1] - at) if some else [], strict=True))
+        # Ids of words that aren't remembered lie behind the others for now.
+        begin, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        missing = place < 0
+        place[missing] = known.find(keys[:, missing], hashes[missing])
+        place[alone] = 0
+        begin[short], count[short] = known.starts[place], known.counts[place]
         if words:
-            for i, x in zip(places, self.merge_all(words), strict=True):
-                out[i] = x
-        return out
-
-    def _found(self, pieces: list[str], blank: str = " ") -> list[bytes]:
-        find = self.find
-        found = [find(blank + x) for x in pieces]
-        known = self.pre_tokens(set(chain.from_iterable(found))).__getitem__
-        return [b"".join(map(known, f)) for f in found]
-
-    def _flush(self, held: list[list[str]]) -> list[bytes]:
-        heads = self.heads({x[0] for x in held})
-        known = self.pieces(set().union(*(x[1:] for x in held))).__getitem__
-        return [heads[x[0]] + b"".join(map(known, x[1:])) for x in held]
+            lengths = np.fromiter((len(own[w]) for w in words), np.int64, len(words))
+            known.room(int(lengths.sum()))
+            known.ids[known.used : known.used + int(lengths.sum())] = np.concatenate([own[w] for w in words])
+            begin[rest], count[rest] = known.used + np.cumsum(lengths) - lengths, lengths
+        out = known.ids[np.repeat(begin, count) + _within(count)]
+        upto = np.concatenate([[0], np.cumsum(count)])
+        ends = upto[np.cumsum(per_text)]
+        return [out[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The ids of each whole text, each match of the pattern by itself."""
-        held: list[list[str]] = []
+        held: list[str] = []
         size = 0
         for text in texts:
-            if size + len(text) > AT_ONCE and held:
-                yield from (np.frombuffer(x, np.uint32) for x in self._flush(held))
+            if held and size + len(text) > AT_ONCE:
+                yield from self._flush(held)
                 held, size = [], 0
-            if len(text) > AT_ONCE:
-                yield np.frombuffer(b"".join(self._flush([_split(part)])[0] for part in _parts(text)), np.uint32)
+            if len(text) > AT_ONCE and self.find is None:
+                yield np.concatenate([self._flush([part])[0] for part in _parts(text)])
             else:
-                held.append(_split(text))
+                held.append(text)
                 size += len(text)
         if held:
-            yield from (np.frombuffer(x, np.uint32) for x in self._flush(held))
+            yield from self._flush(held)
 
     def encode(self, text: str) -> np.ndarray:
         return next(self.encode_all([text]))
@@ -289,16 +450,11 @@ class Codec:
 
     def decimals(self, ids: np.ndarray) -> bytes:
         """The ids in decimal, joined by commas."""
-        return self.numbers(ids)[:-1]
-
-
-def _split(text: str) -> list[str]:
-    """Pieces of a text that the pattern's matches don't cross; all but the first follow a blank."""
-    return BETWEEN.split(text) if ODD.search(text) else text.split(" ")
+        return self.numbers[ids].tobytes().translate(None, b"\0")[:-1]
 
 
 def _parts(text: str) -> Iterator[str]:
-    """A very long text in parts, cut where no match can be."""
+    """A very long text in parts, cut where no match of PLAIN can be."""
     at = 0
     while at < len(text):
         cut = BETWEEN.search(text, at + AT_ONCE)
@@ -312,12 +468,16 @@ class _Spelling:
 
     def __init__(self, strings: list[bytes]):
         self.lengths = np.array(list(map(len, strings)), np.int64)
-        self.strings = strings
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        self.starts = np.cumsum(self.lengths) - self.lengths
         self.data = np.frombuffer(b"".join(strings), np.uint8)
 
     def __call__(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.strings.__getitem__, ids.tolist()))
+        out = []
+        for at in range(0, len(ids), IDS):
+            part = ids[at : at + IDS]
+            lengths = self.lengths[part]
+            out.append(self.data[np.repeat(self.starts[part], lengths) + _within(lengths)].tobytes())
+        return b"".join(out)
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -398,8 +558,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATT
 
 def digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256, without keeping ids: encoded, then decoded from the ids."""
-    import hashlib
-
     def both(own: Codec, column: pa.Array) -> list[pa.Array]:
         n, ids_, decoded = [], [], []
         for ids in own.encode_all(x or "" for x in column.to_pylist()):

@@ -246,11 +246,47 @@ def test_bpe_as_reference(reference, monkeypatch):
     want = [other.encode_ordinary(x) for x in texts]
     assert [x.tolist() for x in own.encode_all(texts)] == want
     assert all(own.decode(np.array(w, np.uint32)) == t.encode() for w, t in zip(want, texts, strict=True))
-    for most in ("MOST_PIECES", "MOST_TOKENS"):
-        monkeypatch.setattr(bpe, most, 50)
-    monkeypatch.setattr(bpe, "AT_ONCE", 20)
-    tight = bpe.Codec(path, pattern)
-    assert [x.tolist() for x in tight.encode_all(texts[:800])] == want[:800]
+    monkeypatch.setattr(bpe, "MOST_WORDS", 50)
+    for at_once in (20, 400):
+        monkeypatch.setattr(bpe, "AT_ONCE", at_once)
+        tight = bpe.Codec(path, pattern)
+        assert [x.tolist() for x in tight.encode_all(texts)] == want
+
+
+def test_matches_of_the_pattern(reference):
+    import regex
+
+    _, pattern, _ = reference
+    assert pattern == bpe.PLAIN
+    find = regex.compile(pattern).finditer
+    r = random.Random(14)
+    letters = list("aà字 \t\n\x1c\x85\xa0　1²½._'strevmld") + ["'s", "'re", "'ll", "'ve", "'t ", " '", "\u200b", "🎉", "\0"]
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(12))) for _ in range(20_000)]
+    first = np.concatenate([np.arange(len(x)) == 0 for x in texts])
+    got = bpe.match_starts(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), first)
+    sizes = np.cumsum([0, *map(len, texts)])
+    assert got.tolist() == [int(at) + m.start() for at, x in zip(sizes, texts, strict=False) for m in find(x)]
+
+
+@pytest.mark.parametrize("other_pattern", [r"\S+ \S+|\s+|\S+", r"\p{L}+|[^\p{L}]", r"[a-z]+"])
+def test_bpe_by_any_pattern(reference, other_pattern):
+    import tiktoken
+
+    path, _, other = reference
+    ranks = {other.decode_single_token_bytes(i): i for i in range(other.n_vocab)}
+    want = tiktoken.Encoding("any", pat_str=other_pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = ["one two three four", "é日本 x  y\n z1 22", "", " ", "ab cd " * 300]
+    assert [x.tolist() for x in bpe.Codec(path, other_pattern).encode_all(texts)] == [want.encode_ordinary(x) for x in texts]
+
+
+def test_words_of_one_hash(reference, monkeypatch):
+    path, pattern, other = reference
+    monkeypatch.setattr(bpe._Words, "hashes", staticmethod(lambda keys: keys[0] & np.uint64(3)))
+    own = bpe.Codec(path, pattern)
+    own.base = own.before = bpe._Words()
+    own.known = bpe._Words()
+    texts = [sentence(30) + " vorstellung überaus " + str(i) for i in range(20)]
+    assert [x.tolist() for x in own.encode_all(texts)] == [other.encode_ordinary(x) for x in texts]
 
 
 def test_bpe_tables(reference, docs, none):
@@ -406,16 +442,45 @@ def test_top_k_beyond_a_long(spark):
             topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
 
 
+def brute_sections(text, other, rule):
+    """(char_start, char_end, n_tokens, n_shared) of each line, and the tokens of the text, one token and character at a time."""
+    lines = text.split("\n")
+    ends = np.cumsum([len(x) + 1 for x in lines]).tolist()
+    ends[-1] -= 1
+    starts = [0, *ends[:-1]]
+    char_of = [i for i, c in enumerate(text) for _ in c.encode()]
+    line_of = [k for k, (a, b) in enumerate(zip(starts, ends, strict=True)) for _ in range(b - a)]
+    tokens, counts, shared, at = other.encode_ordinary(text), [0.0] * len(lines), [0] * len(lines), 0
+    for t in tokens:
+        n = len(other.decode_single_token_bytes(t))
+        chars = range(char_of[at], char_of[at + n - 1] + 1)
+        at += n
+        cover = {}
+        for i in chars:
+            cover[line_of[i]] = cover.get(line_of[i], 0) + 1
+        if rule == "share":
+            for k, v in cover.items():
+                counts[k] += v / len(chars)
+        else:
+            counts[line_of[chars[0]] if rule == "first" else max(cover, key=lambda k: (cover[k], -k))] += 1
+        if len(cover) > 1:
+            for k in cover:
+                shared[k] += 1
+    return [(a, b, c, s) for a, b, c, s in zip(starts, ends, counts, shared, strict=True)], len(tokens)
+
+
 @pytest.mark.parametrize("rule", tokencounts.RULES)
-def test_section_tokens(reference, docs, none, rule):
+def test_section_tokens_as_brute_force(spark, reference, none, rule):
     path, pattern, other = reference
-    got = tokencounts.section_tokens(docs, path, rule=rule).collect()
-    assert len(got) == sum((t or "").count("\n") + 1 for _, t, *_ in some_docs())
-    text = "one\n\n  two 日本\n"
-    starts, ends = tokencounts.token_spans(text.encode(), np.array([len(other.decode_single_token_bytes(x)) for x in other.encode_ordinary(text)]))
-    counts, shared = tokencounts.attribute(starts, ends, tokencounts.line_bounds(text), rule)
-    assert abs(counts.sum() - len(other.encode_ordinary(text))) < 1e-9
-    assert tokencounts.section_tokens(none, path).count() == 0
+    rows = [(i, t) for i, t, *_ in some_docs()] + [(50, "one\n\n  two 日本\n"), (51, "\n\n\n"), (52, "a \n \n\n\n b\n"), (53, "\n"), (None, "x\n y"), (50, "one\n\n  two 日本\n")]
+    docs = spark.createDataFrame([(i, t, "old") for i, t in rows], "doc_id long, text string, section string")
+    got = sorted(map(repr, ((r[0], r[1], r[2], r[3], round(r[4], 9), r[5], r[6]) for r in tokencounts.section_tokens(docs, path, rule=rule).collect())))
+    want = []
+    for i, t in rows:
+        lines, n = brute_sections(t or "", other, rule)
+        want += [(i, k, a, b, round(c, 9), s, n) for k, (a, b, c, s) in enumerate(lines)]
+    assert got == sorted(map(repr, want))
+    assert tokencounts.section_tokens(none, path, rule=rule).count() == 0
 
 
 def test_boundary_rules():
