@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 
@@ -19,12 +20,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and continue from there.
 
     The folder is the session's spark.checkpoint.dir; only where none is named
-    (tests on one machine) a temporary one is made.
+    and all of Spark runs in one process (as in tests) a temporary one is made.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         if not where:
             where = tempfile.mkdtemp(prefix="labflow-checkpoint-")
             atexit.register(shutil.rmtree, where, True)
@@ -32,6 +35,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, stem: str = "_own") -> str:
+    """A prefix that no column of df begins with, for columns that an operator adds for a while."""
+    while any(c.lower().startswith(stem) for c in df.columns):
+        stem += "_"
+    return stem
+
+
 def let_go(spark: SparkSession) -> None:
     """Have Spark delete the shuffle files and checkpoints that nothing refers to any more.
 
@@ -47,8 +57,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lean(df: DataFrame) -> DataFrame:
-    """df, with a session that hands texts to Python in batches of a few MB, so that long ones don't add up in a worker."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """df, with a session that hands texts to Python in batches of a few MB, so that long ones don't add up in a worker.
+
+    Spark has no such setting for a single query, so it holds for the session
+    from then on; one that the session's owner has made stays as it is.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in df.sparkSession.conf.getAll:
+        df.sparkSession.conf.set(key, BATCH_BYTES)
     return df
 
 
