@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from labflow.llm.common import byte_values, cut, lean, table
+from labflow.llm.common import byte_values, cut, lean, table, unused
 
 #: Bits of a piece of a filter, and the least and most bits of a whole one (32 MB).
 PIECE, LEAST_BITS, MOST_BITS = 1 << 18, 1 << 20, 1 << 28
@@ -22,6 +22,10 @@ BITS_A_DOCUMENT = 128
 MOST_KEYS = 500_000
 #: Suspected keys that a task holds before it hands on their counts.
 HELD = 50_000
+#: Repeated doc_ids that are sent to all executors (8 bytes each); beyond it, every document is treated as one that may come again.
+MOST_TWICE = 500_000
+#: What stands for a null doc_id in the order of documents.
+LAST = (1 << 63) - 1
 
 
 def keys(data: bytes) -> list[bytes]:
@@ -93,34 +97,43 @@ def twice_seen(docs: DataFrame, bits: int) -> np.ndarray:
     return whole
 
 
-def repeated(docs: DataFrame, min_docs: int, seen, bits: int) -> DataFrame:
-    """(key, first_doc, first_line) of the keys that at least min_docs documents have, counted exactly.
+def repeated(docs: DataFrame, min_docs: int, seen, bits: int, most_twice: int = MOST_TWICE) -> DataFrame:
+    """(digest, first_doc, first_line) of the keys that at least min_docs documents have, counted exactly by their 128-bit hashes.
 
-    Only lines that the filter suspects are shuffled, once for each task and key.
+    Only lines that the filter suspects are shuffled, once for each task and
+    key. Rows of one doc_id are one document; those of doc_ids that come again
+    hand on key and doc_id, so that each counts once. Each row without a doc_id
+    is a document of its own.
     """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc"))
+    twice = cut(ids.where("doc is not null").groupBy("doc").count().where("count > 1").select("doc"))
+    few = len(twice.limit(most_twice + 1).collect()) <= most_twice
+    again = docs.sparkSession.sparkContext.broadcast({r[0] for r in twice.collect()} if few else None)
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[bytes, list] = {}
+        found: dict[tuple[bytes, int | None], list] = {}
 
         def out() -> pa.RecordBatch:
-            v = list(found.values())
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([x[0] for x in v], pa.int64()), pa.array([x[1][0] for x in v], pa.int64()), pa.array([x[1][1] for x in v], pa.int64())], ["key", "n", "doc", "line"])
+            v, kinds = list(found.values()), (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            columns = ([k[0] for k in found], [k[1] for k in found], [x[0] for x in v], [x[1][0] for x in v], [x[1][1] for x in v])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["digest", "own", "n", "doc", "line"])
 
-        bitmap, digest = seen.value, xxhash.xxh3_64_intdigest
-        last = (1 << 63) - 1
+        bitmap, short, long, often = seen.value, xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest, again.value
         for batch in batches:
-            rows: list[tuple[bytes, int, int]] = []
+            rows: list[tuple[bytes, int | None, list[int]]] = []
             for doc, x in zip(batch.column(0).to_pylist(), byte_values(batch.column(1)), strict=True):
-                own: dict[bytes, int] = {}
+                lines: dict[bytes, int] = {}
                 for i, k in enumerate(keys(x)):
-                    if k and k not in own:
-                        own[k] = i
-                rows += [(k, last if doc is None else doc, i) for k, i in own.items()]
-            test = _has(bitmap, np.array([digest(r[0]) for r in rows], np.uint64), bits)
+                    if k and k not in lines:
+                        lines[k] = i
+                own = doc if doc is not None and (often is None or doc in often) else None
+                rows += [(k, own, [LAST if doc is None else doc, i]) for k, i in lines.items()]
+            test = _has(bitmap, np.array([short(r[0]) for r in rows], np.uint64), bits)
             for j in np.flatnonzero(test).tolist():
-                k, *at = rows[j]
-                if (old := found.get(k)) is None:
-                    found[k] = [1, at]
+                k, own, at = rows[j]
+                place = (long(k), own)
+                if (old := found.get(place)) is None:
+                    found[place] = [1, at]
                 else:
                     old[0] += 1
                     old[1] = min(old[1], at)
@@ -130,38 +143,39 @@ def repeated(docs: DataFrame, min_docs: int, seen, bits: int) -> DataFrame:
         if found:
             yield out()
 
-    rows = lean(docs).select(F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(suspects, "key binary, n long, doc long, line long")
-    first = F.min(F.struct("doc", "line"))
-    return rows.groupBy("key").agg(F.sum("n").alias("n"), first.alias("f")).where(F.col("n") >= min_docs).select("key", F.col("f.doc").alias("first_doc"), F.col("f.line").alias("first_line"))
-
-
-def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, bits: int | None = None, most_keys: int = MOST_KEYS) -> DataFrame:
-    """docs (doc_id, text, any others) without the lines whose key at least min_docs rows have.
-
-    Adds n_lines (before) and n_dropped; an input column of such a name is
-    replaced. With keep_first, the occurrence in the smallest doc_id and line
-    stays. A null or empty text counts as one empty line; empty keys always stay;
-    a text that loses every line becomes empty, a null stays null. Each row
-    counts as a document, so repeated rows count as often as they appear.
+    rows = lean(docs).select(F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(suspects, "digest binary, own long, n long, doc long, line long")
+    at = F.struct("doc", "line")
+    if few and not again.value:
+        counted = rows.groupBy("digest").agg(F.sum("n").alias("n"), F.min(at).alias("f"))
+    else:
+        # Of a doc_id that comes again, a key counts once, wherever its rows are.
+        once = rows.groupBy("digest", "own").agg(F.sum("n").alias("n"), F.min(at).alias("f"))
+        counted = once.groupBy("digest").agg(F.sum(F.when(F.col("own").isNull(), F.col("n")).otherwise(1)).alias("n"), F.min("f").alias("f"))
+    return counted.where(F.col("n") >= min_docs).select("digest", F.col("f.doc").alias("first_doc"), F.col("f.line").alias("first_line"))
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, bits: int | None = None, most_keys: int = MOST_KEYS, most_twice: int = MOST_TWICE) -> DataFrame:
+    """docs (doc_id, text, any others) without the lines whose key at least min_docs documents have.
+
+    Adds n_lines (before) and n_dropped; input columns of these names are
+    replaced, all others stay, whatever they are called. With keep_first, the
+    occurrence in the smallest doc_id and line stays, in each row of that doc_id
+    that has the key there (rows without one come last). A null or empty text counts as one empty line; empty keys always
+    stay; a text that loses every line becomes empty, a null stays null. Rows of
+    one doc_id count as one document, and each row without one as one of its
+    own; each row is returned, as often as it comes.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
     if bits is None:
         bits = min(MOST_BITS, max(LEAST_BITS, 1 << (docs.count() * BITS_A_DOCUMENT).bit_length()))
     seen = spark.sparkContext.broadcast(twice_seen(docs, bits))
-    lost = cut(repeated(docs, min_docs, seen, bits))
+    lost = cut(repeated(docs, min_docs, seen, bits, most_twice))
     schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
     at, by = docs.columns.index("text"), docs.columns.index("doc_id")
     rewrite = lambda batch, texts, n, m: pa.RecordBatch.from_arrays([*(pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[: len(schema) - 2])), pa.array(n, pa.int64()), pa.array(m, pa.int64())], names=schema.names)
     if len(lost.limit(most_keys + 1).select(F.lit(1)).collect()) <= most_keys:
-
-        def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                d = pa.array([xxhash.xxh3_128_digest(x) for x in batch.column(0).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([d, batch.column(1), batch.column(2)], ["digest", "doc", "line"])
-
-        rows = lost.select("key", "first_doc", "first_line").mapInArrow(digests, "digest binary, doc long, line long").collect()
-        gone = spark.sparkContext.broadcast({bytes(r[0]): (r[1], r[2]) for r in rows})
+        gone = spark.sparkContext.broadcast({bytes(r[0]): (r[1], r[2]) for r in lost.collect()})
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out, digest = gone.value, xxhash.xxh3_128_digest
@@ -169,6 +183,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, b
                 texts, n, m = [], [], []
                 for doc, x, null in zip(batch.column(by).to_pylist(), byte_values(batch.column(at)), batch.column(at).is_null().to_pylist(), strict=True):
                     lines, kept = x.split(b"\n"), []
+                    doc = LAST if doc is None else doc
                     for i, (line, k) in enumerate(zip(lines, keys(x), strict=True)):
                         if not k or (d := digest(k)) not in out or (keep_first and out[d] == (doc, i)):
                             kept.append(line)
@@ -184,8 +199,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, b
         for batch in batches:
             rows = [(d, h, i, k) for d, h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_values(batch.column(2)), strict=True) for i, k in enumerate(keys(x)) if k]
             test = _has(bitmap, np.array([xxhash.xxh3_64_intdigest(r[3]) for r in rows], np.uint64), bits)
-            rows = [rows[j] for j in np.flatnonzero(test).tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc", "hash", "line", "key"])
+            rows = [(*rows[j][:3], xxhash.xxh3_128_digest(rows[j][3])) for j in np.flatnonzero(test).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc", "hash", "line", "digest"])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,13 +212,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, b
                 m.append(len(out))
             yield rewrite(batch, texts, n, m)
 
-    own = F.xxhash64("text")
-    rows = lean(docs).select(F.col("doc_id").cast("long"), own, "text").mapInArrow(lines, "doc long, hash long, line long, key binary").join(lost, "key")
+    p, own = unused(docs), F.xxhash64("text")
+    rows = lean(docs).select(F.col("doc_id").cast("long"), own, "text").mapInArrow(lines, "doc long, hash long, line long, digest binary").join(lost, "digest")
     if keep_first:
-        rows = rows.where(~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("line") == F.col("first_line"))))
-    out = rows.groupBy("doc", "hash").agg(F.collect_set("line").alias("lost_lines"))
-    both = docs.withColumn("own_hash", own).join(out, F.col("doc_id").cast("long").eqNullSafe(F.col("doc")) & (F.col("own_hash") == F.col("hash")), "left")
-    return lean(both).select(*(docs[c] for c in docs.columns), "lost_lines").mapInArrow(remove, schema)
+        rows = rows.where((F.coalesce("doc", F.lit(LAST)) != F.col("first_doc")) | (F.col("line") != F.col("first_line")))
+    out = rows.groupBy(F.col("doc").alias(p + "doc"), F.col("hash").alias(p + "hash")).agg(F.collect_set("line").alias(p + "lost"))
+    both = docs.withColumn(p + "own", own).join(out, F.col("doc_id").cast("long").eqNullSafe(F.col(p + "doc")) & (F.col(p + "own") == F.col(p + "hash")), "left")
+    return lean(both).select(*docs.columns, p + "lost").mapInArrow(remove, schema)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,14 +227,15 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = """
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
-  FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (
+  SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM d),
 keyed AS (
-  SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  SELECT r, doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
   FROM lines),
-lost AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+lost AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) + count(DISTINCT CASE WHEN doc_id IS NULL THEN r END) >= 10)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (k IN (SELECT k FROM lost)) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (k NOT IN (SELECT k FROM lost)), '')) AS kept_sha256
-FROM keyed GROUP BY doc_id
+FROM keyed GROUP BY r, doc_id
 """
