@@ -19,8 +19,8 @@ from labflow.llm.langid import held_out
 
 #: Labelled rows that a model is fitted on at most, drawn by the hash of doc_id.
 MOST_TRAIN = 20_000
-#: Lexicon entries and exception phrases at most; characters of a stem; toxic documents with an entry, their share, and its log-odds, at least.
-MOST_ENTRIES, MOST_PHRASES, STEMS, LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 5_000, 5_000, (4, 5, 6, 7), 4, 0.004, 3.0
+#: Characters of a stem; toxic documents with an entry, their share, and its log-odds, at least.
+STEMS, LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = (4, 5, 6, 7), 4, 0.004, 3.0
 #: Entries that a task holds before it hands on their counts.
 HELD = 1_000_000
 
@@ -54,13 +54,11 @@ class Matcher:
     def __init__(self, lexicon: dict[str, float], phrases: set[str]):
         self.automaton = ahocorasick.Automaton()
         for phrase in phrases:
-            self.automaton.add_word(phrase, (0.0, phrase.rstrip(), True, True))
-        for entry, weight in lexicon.items():
-            self.automaton.add_word(entry.rstrip(), (weight, entry.rstrip(), entry.endswith(" "), False))
-        # A word that is entry both as a whole and as a stem counts by the higher weight.
-        for entry, weight in lexicon.items():
-            if not entry.endswith(" "):
-                self.automaton.add_word(entry, (max(weight, lexicon.get(entry + " ", 0.0)), entry, False, False))
+            self.automaton.add_word(phrase, (len(phrase), 0.0, 0.0, True))
+        # What an entry weighs where a word only begins with it, and where it is the whole word.
+        for entry in {e.rstrip() for e in lexicon}:
+            stem = lexicon.get(entry, 0.0)
+            self.automaton.add_word(entry, (len(entry), stem, max(stem, lexicon.get(entry + " ", 0.0)), False))
         if len(self.automaton):
             self.automaton.make_automaton()
 
@@ -71,13 +69,15 @@ class Matcher:
         if not len(self.automaton):
             return found
         n = len(folded)
-        for end, (weight, entry, whole, excuse) in self.automaton.iter(folded):
-            at = end + 1 - len(entry)
-            if (at and folded[at - 1].isalpha()) or (whole and end + 1 < n and folded[end + 1].isalpha()):
+        for end, (size, stem, whole, excuse) in self.automaton.iter(folded):
+            at = end + 1 - size
+            if at and folded[at - 1].isalpha():
                 continue
+            ends = end + 1 == n or not folded[end + 1].isalpha()
             if excuse:
-                spans.append((at, end))
-            elif weight > found.get(at, 0.0):
+                if ends:
+                    spans.append((at, end))
+            elif (weight := whole if ends else stem) > found.get(at, 0.0):
                 found[at] = weight
         for a, b in spans:
             for at in [x for x in found if a <= x <= b]:
@@ -137,7 +137,14 @@ def _phrases(matcher: Matcher, text: str) -> set[str]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAIN) -> tuple[dict[str, float], set[str], tuple[float, float, float]]:
-    """A lexicon, exception phrases and the three numbers of a logistic curve, from docs (doc_id, text) and labels (doc_id, toxic)."""
+    """A lexicon, exception phrases and the three numbers of a logistic curve, from docs (doc_id, text) and labels (doc_id, toxic).
+
+    Of more than `most` labelled rows, those of the least hashes of doc_id are
+    used; that alone bounds the lexicon and the phrases, of which every one that
+    is telling enough is kept. Null texts, doc_ids and labels take no part; a
+    doc_id that comes again counts as often as it does. Without labelled rows
+    the lexicon is empty and all texts score alike.
+    """
     rows = _sample(docs, labels, most)
     by = {bool(r["toxic"]): r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = by.get(True, 0), by.get(False, 0)
@@ -146,36 +153,24 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAIN) -> tuple[dic
     least = max(LEAST_DOCS, math.ceil(LEAST_SHARE * toxic))
     best = counted.where(F.col("toxic") >= least).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
     lexicon: dict[str, float] = {}
-    for r in sorted(best.orderBy(F.desc("toxic"), "entry").limit(MOST_ENTRIES).collect(), key=lambda r: (len(r["entry"]), r["entry"])):
+    for r in sorted(best.collect(), key=lambda r: (len(r["entry"]), r["entry"])):
         # An entry says no more than a stem of it that is as telling.
         if not any(lexicon.get(r["entry"][:n], 0.0) >= r["odds"] - 0.7 for n in STEMS if n < len(r["entry"])):
             lexicon[r["entry"]] = r["odds"]
     matcher = Matcher(lexicon, set())
     excuses = _counted(rows, lambda text: _phrases(matcher, text)).where((F.col("clean") >= 2) & (F.col("toxic") * 4 <= F.col("clean")))
-    phrases = {r["entry"] for r in excuses.orderBy(F.desc("clean"), "entry").limit(MOST_PHRASES).collect()}
-    matcher = Matcher(lexicon, phrases)
+    phrases = {r["entry"] for r in excuses.collect()}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Matcher(lexicon, phrases)
         for b in batches:
-            f = [matcher_of(lexicon, phrases).features(x) for x in b.column(0).to_pylist()]
+            f = [own.features(x) for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in f], pa.float64()), pa.array([x[1] for x in f], pa.float64()), b.column(1)], ["a", "b", "toxic"])
 
     data = lean(rows).mapInArrow(measure, "a double, b double, toxic int").toPandas()
     return lexicon, phrases, _logistic(data[["a", "b"]].to_numpy(float), (data["toxic"] > 0).to_numpy(float))
 
 
-_matchers: dict[int, tuple[object, Matcher]] = {}
-
-
-def matcher_of(lexicon: dict[str, float], phrases: set[str]) -> Matcher:
-    """The worker's matcher, built once for each lexicon that it gets."""
-    key = hash((frozenset(lexicon.items()), frozenset(phrases)))
-    if key not in _matchers:
-        _matchers.clear()
-        _matchers[key] = (None, Matcher(lexicon, phrases))
-    return _matchers[key][1]
-
-
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     """Intercept and slopes by Newton's method with a small ridge; slopes aren't negative."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -193,15 +188,16 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def score_toxicity(docs: DataFrame, lexicon: dict[str, float], phrases: set[str], curve: tuple[float, float, float]) -> DataFrame:
     """docs (text, any others) with score (0 to 1) and predicted (1 from 0.5 on).
 
-    Null and empty texts have the score of a text in which nothing is found.
-    Input columns of these names are replaced; repeated rows stay.
+    Null and empty texts have the score of a text in which nothing is found;
+    long ones are read whole. Input columns of these names are replaced, all
+    others stay; repeated rows stay; no rows give no rows.
     """
     docs = docs.drop("score", "predicted")
     at = docs.columns.index("text")
     sent = docs.sparkSession.sparkContext.broadcast((lexicon, phrases))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = matcher_of(*sent.value)
+        matcher = Matcher(*sent.value)
         for b in batches:
             f = np.array([matcher.features(x or "") for x in b.column(at).to_pylist()]).reshape(-1, 2)
             score = 1 / (1 + np.exp(-np.clip(curve[0] + f @ np.array(curve[1:]), -30, 30)))
