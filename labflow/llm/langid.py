@@ -30,17 +30,24 @@ def _letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
-def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """A trigram bucket for each letter of a text, and where its words begin; all but letters counts as a blank."""
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    is_letter = _letters()[c]
-    c = np.where(is_letter, c, 0).astype(np.uint32)
-    before, after = np.concatenate([[0], c[:-1]]).astype(np.uint32), np.concatenate([c[1:], [0]]).astype(np.uint32)
-    mixed = (before * np.uint32(0x9E3779B1)) ^ (c * np.uint32(0x85EBCA77)) ^ (after * np.uint32(0xC2B2AE3D))
-    mixed ^= mixed >> np.uint32(15)
-    mixed *= np.uint32(0x2C1B3C6D)
-    at = np.flatnonzero(is_letter)
-    return (mixed[at] >> np.uint32(16)).astype(np.int64), np.flatnonzero(before[at] == 0)
+def _grams(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A trigram bucket for each letter of a text, and whether a word begins there, by parts of AT_ONCE characters; all but letters counts as a blank.
+
+    Each part sees the characters next to it, so where the cuts are makes no difference.
+    """
+    lower = text.lower()
+    for at in range(0, len(lower), AT_ONCE):
+        part = lower[max(0, at - 1) : at + AT_ONCE + 1]
+        c = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+        is_letter = _letters()[c]
+        c = np.pad(np.where(is_letter, c, 0).astype(np.uint32), (int(at == 0), 1))
+        before, own, after = c[:-2], c[1:-1], c[2:]
+        before, own, after = (x[: min(AT_ONCE, len(lower) - at)] for x in (before, own, after))
+        mixed = (before * np.uint32(0x9E3779B1)) ^ (own * np.uint32(0x85EBCA77)) ^ (after * np.uint32(0xC2B2AE3D))
+        mixed ^= mixed >> np.uint32(15)
+        mixed *= np.uint32(0x2C1B3C6D)
+        letters = np.flatnonzero(own)
+        yield (mixed[letters] >> np.uint32(16)).astype(np.int64), before[letters] == 0
 
 
 def held_out(doc_id: str, modulus: int, rest: int) -> Column:
@@ -63,8 +70,8 @@ def fit(docs: DataFrame, most: int = MOST_TRAIN) -> tuple[list[str], np.ndarray]
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for at in range(0, len(text), AT_ONCE):
-                    g = np.bincount(_grams(text[at : at + AT_ONCE])[0], minlength=BUCKETS)
+                for grams, _ in _grams(text):
+                    g = np.bincount(grams, minlength=BUCKETS)
                     sums[lang] = sums[lang] + g if lang in sums else g
         for lang, n in sums.items():
             some = np.flatnonzero(n)
@@ -128,11 +135,20 @@ def _shares(texts: list[str | None], model: np.ndarray) -> list[np.ndarray | Non
         likes, starts, places, held, rows = [], [], [], 0, 0
 
     for i, text in enumerate(texts):
-        units = []
-        for at in range(0, len(text or ""), AT_ONCE):
-            grams, words = _grams(text[at : at + AT_ONCE])
-            if len(grams):
-                units.append(np.add.reduceat(model[grams], words[::UNIT], axis=0))
+        units: list[np.ndarray] = []
+        words = 0
+        for grams, begins in _grams(text or ""):
+            if not len(grams):
+                continue
+            unit = (words + np.cumsum(begins) - 1) // UNIT
+            first = np.flatnonzero(np.diff(unit, prepend=-1))
+            sums = np.add.reduceat(model[grams], first, axis=0)
+            if units and unit[0] == (words - 1) // UNIT:
+                units[-1][-1] += sums[0]
+                sums = sums[1:]
+            if len(sums):
+                units.append(sums)
+            words += int(begins.sum())
         if units:
             starts.append(rows)
             places.append(i)
@@ -150,8 +166,9 @@ def identify(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
 
     lang_pred has the largest share of the chosen set (ties: the first by code
     point), score is that share. Null texts, texts without letters, and all
-    texts if there are no languages, get "und", 0 and no shares. Input columns
-    of these names are replaced.
+    texts if there are no languages, get "und", 0 and no shares. Long texts are
+    read whole. Input columns of these names are replaced, all others stay;
+    repeated rows stay; no rows give no rows.
     """
     docs = docs.drop("lang_pred", "score", "lang_shares")
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -176,5 +193,3 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     langs, model = fit(docs.where(~held_out("doc_id", 4, 2)).select("doc_id", "text", "lang"))
     return identify(docs.select("doc_id", "text"), langs, model).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
-
-
