@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from labflow.llm.common import cut, small, table
 
-#: Rows whose slots one task numbers, about.
-ROWS = 4096
+#: Rows whose slots one task numbers, about, and equal rows that one task writes.
+ROWS, EQUAL = 4096, 1 << 16
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -41,27 +41,36 @@ def shard_of(key: Column, shards: int) -> Column:
     return each(F.coalesce(key, F.lit(0).cast("long")))
 
 
-def shard(docs: DataFrame, shards: int = 16, rows: int = ROWS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, rows: int = ROWS, equal: int = EQUAL) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row of docs (doc_id, text, any others).
 
     The law is `key`: doc_id and the number of shards decide. size is the text's
     UTF-8 bytes plus 1 (null: 1), slot numbers a shard's rows from 0 without
     gaps, by hash; grown_shard is the shard if there were one more. Null ids
-    share a shard; equal rows differ in their slots only. Shards are numbered in
-    pieces of about `rows` rows, whose sizes give where each piece begins.
+    share a shard; no rows give no rows; other columns are ignored. Rows that
+    are equal in all that is returned are counted before anything is numbered,
+    and written `equal` at a time, so one that comes very often fills no task.
+    Shards are numbered in pieces of about `rows` rows, whose sizes give where
+    each piece begins.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     key = F.xxhash64("doc_id")
     own = docs.select(F.col("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), key.alias("h"))
-    pieces = 1 << max(0, (docs.count() // (rows * shards)).bit_length())
+    own = cut(own.groupBy("doc_id", "size", "text_crc32", "h").agg(F.count(F.lit(1)).alias("n")))
+    pieces = 1 << max(0, (own.count() // (rows * shards)).bit_length())
     piece = F.pmod(F.xxhash64(F.col("h"), F.col("text_crc32")), F.lit(pieces))
     put = cut(own.withColumn("shard", shard_of(F.col("h"), shards)).withColumn("grown_shard", shard_of(F.col("h"), shards + 1)).withColumn("piece", piece))
-    counts = put.groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("n"))
+    counts = put.groupBy("shard", "piece").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut(counts.select("shard", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
-    within = F.row_number().over(Window.partitionBy("shard", "piece").orderBy("h", "doc_id", "text_crc32", "size"))
-    slots = put.withColumn("within", within).join(small(starts, 100_000), ["shard", "piece"])
-    return slots.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("within") - 1).alias("slot"), "grown_shard")
+    within = F.sum("n").over(Window.partitionBy("shard", "piece").orderBy("h", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    slots = put.withColumn("within", within).join(small(starts, 100_000), ["shard", "piece"]).withColumn("first", F.col("start") + F.col("within"))
+    if not put.where(F.col("n") > equal).isEmpty():
+        part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(equal).cast("long"))).alias("at")
+        split = slots.where(F.col("n") > equal).select("*", part).select(*(c for c in slots.columns if c not in ("n", "first")), F.least(F.lit(equal).cast("long"), F.col("n") - F.col("at")).alias("n"), (F.col("first") + F.col("at")).alias("first"))
+        slots = slots.where(F.col("n") <= equal).unionByName(split.repartition("shard", "first"))
+    slot = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot")
+    return slots.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot, "grown_shard")
 
 
 def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
