@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from labflow.llm.common import byte_values, lean, table
 
 # Fixed values of the format: tags, and how many bytes a value of each type has.
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_SIZES, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_SIZES = 256, 257, 258, 259, 262, 273, 277, 278, 279, 317, 322, 323, 324, 325
+WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_SIZES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_SIZES = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325
 TYPES = {1: (1, "B"), 3: (2, "H"), 4: (4, "I")}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 CLEAR, END, FIRST, MOST_CODE = 256, 257, 258, 4094
 
-#: Samples in a row, and rows of a page, a strip and a tile, of what the query stores; texts of up to so many bytes may be stored by LZW.
+#: Bytes of a page that is read at most; a directory may declare any.
+MOST_BYTES = 1 << 30
+#: Samples in a row, and rows of a page, a strip and a tile, of what the query stores.
 ROW, PAGE_ROWS, STRIP_ROWS, TILE_ROWS = 64, 4096, 256, 64
 
 
@@ -116,8 +118,12 @@ def unlzw(data: bytes, size: int) -> bytes:
         if code == END:
             break
         if not last:
+            if code >= CLEAR:
+                raise ValueError("an LZW code that no word has")
             word = words[code]
         else:
+            if code > len(words):
+                raise ValueError("an LZW code that no word has")
             word = words[code] if code < len(words) else last + last[:1]
             words.append(last + word[:1])
             if len(words) + 1 >= 1 << bits and bits < 12:
@@ -148,8 +154,8 @@ def _unpack(data: bytes, size: int, compression: int) -> bytes:
     return out
 
 
-def write(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, tile: tuple[int, int] | None = None, strip_rows: int = STRIP_ROWS) -> bytes:
-    """A little-endian file of 8-bit pages (height, width) or (height, width, samples), in strips or, with tile (height, width), in tiles."""
+def write(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, tile: tuple[int, int] | None = None, strip_rows: int = STRIP_ROWS, planar: bool = False) -> bytes:
+    """A little-endian file of 8-bit pages (height, width) or (height, width, samples), in strips or, with tile (height, width), in tiles; with planar, one sample after the other."""
     body = bytearray(b"II*\0\0\0\0\0")
     link = 4
     for page in pages:
@@ -158,18 +164,20 @@ def write(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int =
         page = page.reshape(height, width, samples)
         h, w = tile or (min(strip_rows, height), width)
         offsets, sizes = [], []
-        for y in range(0, height, h):
-            for x in range(0, width, w):
-                part = page[y : y + h, x : x + w]
-                if tile:
-                    part = np.pad(part, ((0, h - part.shape[0]), (0, w - part.shape[1]), (0, 0)))
-                if predictor == 2:
-                    part = np.concatenate([part[:, :1], np.diff(part, axis=1)], axis=1)
-                packed = _pack(part.astype(np.uint8).tobytes(), compression)
-                offsets.append(len(body))
-                sizes.append(len(packed))
-                body += packed
+        for plane in [page[:, :, i : i + 1] for i in range(samples)] if planar else [page]:
+            for y in range(0, height, h):
+                for x in range(0, width, w):
+                    part = plane[y : y + h, x : x + w]
+                    if tile:
+                        part = np.pad(part, ((0, h - part.shape[0]), (0, w - part.shape[1]), (0, 0)))
+                    if predictor == 2:
+                        part = np.concatenate([part[:, :1], np.diff(part, axis=1)], axis=1)
+                    packed = _pack(part.astype(np.uint8).tobytes(), compression)
+                    offsets.append(len(body))
+                    sizes.append(len(packed))
+                    body += packed
         entries = [(WIDTH, 4, [width]), (HEIGHT, 4, [height]), (BITS, 3, [8] * samples), (COMPRESSION, 3, [compression]), (PHOTOMETRIC, 3, [2 if samples >= 3 else 1]), (SAMPLES, 3, [samples]), (PREDICTOR, 3, [predictor])]
+        entries += [(PLANAR, 3, [2])] if planar else []
         entries += [(TILE_WIDTH, 4, [w]), (TILE_HEIGHT, 4, [h]), (TILE_OFFSETS, 4, offsets), (TILE_SIZES, 4, sizes)] if tile else [(STRIP_OFFSETS, 4, offsets), (ROWS_PER_STRIP, 4, [h]), (STRIP_SIZES, 4, sizes)]
         directory = struct.pack("<H", len(entries))
         for tag, kind, values in sorted(entries):
@@ -220,26 +228,35 @@ def read(data: bytes) -> Iterator[Page]:
         width, height, samples, compression, predictor = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
         if any(b != 8 for b in tags.get(BITS, (8,))) or predictor not in (1, 2):
             raise ValueError("only 8-bit samples with predictor 1 or 2 are read")
-        tiled = TILE_OFFSETS in tags
+        tiled, planes = TILE_OFFSETS in tags, samples if one(PLANAR, 1) == 2 else 1
         w, h = (one(TILE_WIDTH, width), one(TILE_HEIGHT, height)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
+        if min(width, height, samples, w, h) < 1:
+            raise ValueError("a page, strip or tile without any sample")
+        if max(height * width, h * w) * samples > MOST_BYTES:
+            raise ValueError(f"a page or tile of over {MOST_BYTES} bytes")
+        across, down = -(-width // w), -(-height // h)
+        parts = list(zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_SIZES if tiled else STRIP_SIZES], strict=True))
+        if len(parts) != across * down * planes:
+            raise ValueError(f"{len(parts)} strips or tiles where {across * down * planes} make up the page")
         page = np.zeros((height, width, samples), np.uint8)
-        across = -(-width // w)
-        for k, (offset, size) in enumerate(zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_SIZES if tiled else STRIP_SIZES], strict=True)):
+        for k, (offset, size) in enumerate(parts):
+            plane, k = divmod(k, across * down)
             y, x = k // across * h, k % across * w
-            rows = h if tiled else min(h, height - y)
-            part = np.frombuffer(_unpack(data[offset : offset + size], rows * w * samples, compression), np.uint8).reshape(rows, w, samples)
+            rows, depth = h if tiled else min(h, height - y), samples // planes
+            part = np.frombuffer(_unpack(data[offset : offset + size], rows * w * depth, compression), np.uint8).reshape(rows, w, depth)
             if predictor == 2:
                 part = np.cumsum(part, axis=1, dtype=np.uint8)
-            page[y : y + rows, x : x + w] = part[: height - y, : width - x]
+            page[y : y + rows, x : x + w, plane * depth : (plane + 1) * depth] = part[: height - y, : width - x]
         yield Page(width, height, samples, compression, predictor, tiled, page)
 
 
 def pages(files: DataFrame, content: str = "content") -> DataFrame:
     """One row for each page of the TIFF files in a binary column: the other columns, page (from 0), width, height, samples, compression, predictor, tiled, data and error.
 
-    A null file gives no rows; one that can't be read gives the pages before the
-    fault and then a row with the error and no data. Columns of these names are
-    replaced; repeated rows stay.
+    A null file gives no rows; one that can't be read, or declares a page of more
+    than MOST_BYTES, gives the pages before the fault and then a row with the
+    error and no data. Columns of these names are replaced, all others stay;
+    repeated rows stay; no rows give no rows.
     """
     more = "page int, width int, height int, samples int, compression int, predictor int, tiled boolean, data binary, error string"
     kind = files.sparkSession.createDataFrame([], more).schema
@@ -258,7 +275,7 @@ def pages(files: DataFrame, content: str = "content") -> DataFrame:
                 try:
                     for k, p in enumerate(read(x)):
                         yield row([k, p.width, p.height, p.samples, p.compression, p.predictor, p.tiled, p.data.tobytes(), None])
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+                except (ArithmeticError, LookupError, MemoryError, ValueError, struct.error, zlib.error) as e:
                     error = f"{type(e).__name__}: {e}"
                 if error:
                     yield row([k + 1, None, None, None, None, None, None, None, error])
