@@ -10,7 +10,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labflow.llm.common import byte_values, cut, lean, let_go, small, table
@@ -450,6 +450,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, most: int = 4, hot: int = H
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def text_node(docs: DataFrame) -> Column:
+    """A 64-bit name of a text, another for each different text of docs (text).
+
+    It is the text's XXH64; texts that share it without being equal, as a second
+    hash tells (of 10^10 texts, a few are to be expected), are named by that.
+    """
+    node, other = F.xxhash64("text"), F.xxhash64(F.lit(1), F.col("text"))
+    both = docs.select(node.alias("node"), other.alias("other")).groupBy("node").agg(F.min("other").alias("low"), F.max("other").alias("high"))
+    shared = [r[0] for r in both.where("low <> high").select("node").collect()]
+    return F.when(node.isin(shared), other).otherwise(node) if shared else node
+
+
 def similar(docs: DataFrame, width: int = 5, most: int = 9, least: float = 0.8, times: int = 2, hot: int = HOT, bands: int = 0) -> DataFrame:
     """(doc_id, component_id) for each row of docs (doc_id, text): near-duplicates by fingerprints or bands, each link held against the texts.
 
@@ -469,15 +481,16 @@ def similar(docs: DataFrame, width: int = 5, most: int = 9, least: float = 0.8,
 
     component_id is as for near_duplicates. Null, empty and blank texts are alike.
     """
-    roots = text_roots(docs, width, most, least, times, hot, bands)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node")).join(roots, "node")
+    node = text_node(docs)
+    roots = text_roots(docs, width, most, least, times, hot, bands, node)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node.alias("node")).join(roots, "node")
     low = cut(ids.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     return ids.join(low, "root").select("doc_id", "component_id")
 
 
-def text_roots(docs: DataFrame, width: int, most: int, least: float, times: int, hot: int = HOT, bands: int = 0) -> DataFrame:
-    """(node, root) for each different text of docs (text): its XXH64, and the one that names its group; the links are similar()'s."""
-    texts = docs.select(F.xxhash64("text").alias("node"), F.col("text"))
+def text_roots(docs: DataFrame, width: int, most: int, least: float, times: int, hot: int = HOT, bands: int = 0, node: Column | None = None) -> DataFrame:
+    """(node, root) for each different text of docs (text): its text_node(), and the one that names its group; the links are similar()'s."""
+    texts = docs.select((text_node(docs) if node is None else node).alias("node"), F.col("text"))
     names, marks = [f"fp{k}" for k in range(times)], [f"mark{k}" for k in range(MARKS)]
     one = cut(lean(texts.select("node", "text")).mapInArrow(lambda batches: _mixed(batches, width, times, bands), ", ".join(["node long", "size int", *(f"{x} long" for x in marks + names), "bands array<long>"])).dropDuplicates(["node"]))
     live, roots, edges, tested, k = one.withColumn("root", F.col("node")), None, None, None, 1

@@ -1,10 +1,17 @@
 """The pipeline's stages on a small table."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline
+import duckdb
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from labflow.llm import langid, mixing
+from test_odd_cases import brute_shares
+from test_operators import reference  # noqa: F401
 from tests_llm_docs import rows
 
 
@@ -51,3 +58,96 @@ def test_near_dedup_decides_by_row(spark):
     texts = [(row["doc_id"], row["text"] or "") for row in got]
     assert sorted(map(str, (x for x in texts if x[0] is not None))) == sorted(map(str, [(1, a), (2, b), (2, c), (3, e), (4, "")]))
     assert [x for x in texts if x[0] is None] in ([(None, d)], [(None, d + " more")])
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def brute_languages(spark, docs):
+    langs, model = langid.fit(spark.createDataFrame(docs, SCHEMA).select("doc_id", "text", "lang"))
+    keep = []
+    for d in docs:
+        shares = brute_shares(d[1] or "", len(langs), model)
+        if shares is not None and max(shares) >= corpus_pipeline.LEAST_SHARE:
+            keep.append(d)
+    return keep
+
+
+def brute_lines(docs):
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+    of = {}
+    for i, d in enumerate(docs):
+        for x in (d[1] or "").split("\n"):
+            of.setdefault(key(x), set()).add(("row", i) if d[0] is None else d[0])
+    lost = {k for k, v in of.items() if k and len(v) >= corpus_pipeline.LINE_DOCS}
+    return [(d[0], None if d[1] is None else "\n".join(x for x in d[1].split("\n") if key(x) not in lost), *d[2:]) for d in docs]
+
+
+def brute_near(docs):
+    sets = []
+    for d in docs:
+        w = (d[1] or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    up = list(range(len(docs)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= corpus_pipeline.SIMILARITY * len(sets[i] | sets[j]):
+                up[top(i)] = top(j)
+    first = {}
+    for i, d in enumerate(docs):
+        place = (d[0] is None, d[0] or 0)
+        if top(i) not in first or place < first[top(i)][0]:
+            first[top(i)] = (place, d)
+    return [d for _, d in first.values()]
+
+
+def brute_mix(docs):
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([d[0] for d in docs], pa.int64()), "text": pa.array([d[1] for d in docs], pa.string()), "source": pa.array([d[3] for d in docs], pa.string())}))
+    times = {r[0]: r[4] // r[1] for r in con.execute(mixing.OP4_SQL).fetchall() if r[1]}
+    return [d for d in docs for _ in range(times.get(d[0], 0))]
+
+
+def test_pipeline_as_brute_force(spark, tmp_path, reference):  # noqa: F811
+    docs, _ = rows()
+    r = random.Random(17)
+    docs = [(d[0], d[1], r.choice(["en", "en", None]), *d[3:]) for d in docs]
+    words = docs[5][1].split()
+    for k in range(8):
+        more = list(words)
+        for at in r.sample(range(len(more)), 2 * k):
+            more[at] = "another"
+        docs.append((2000 + k, " ".join(more), "en", "s3", 7))
+    docs += [(2100 + k, " ".join(r.choice(["wörter", "über", "größe", "ähnlich", "früh"]) + str(k) for _ in range(30)), "de", "s0", 1) for k in range(12)]
+    spark.createDataFrame(docs, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_mix(brute_near(brute_lines(brute_languages(spark, docs))))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    encoded = lambda t: tuple(reference[2].encode_ordinary(t or ""))
+    assert Counter((x["doc_id"], x["lang"], x["source"], x["n_tokens"], tuple(x["ids"]), x["lossless"]) for x in got) == Counter((d[0], d[2], d[3], len(encoded(d[1])), encoded(d[1]), True) for d in want)
+    assert 40 < len({d[0] for d in want}) < len(docs) - 8
+
+
+NAMES = ["size", "n_lines", "n_dropped", "score", "times", "taken", "target", "source_size", "lang_pred", "lang_shares", "mix_copy", "copy", "node", "root", "gone_id", "ids", "lossless", "fp", "bands", "mark0", "_own", "_OWNnode", "_others", "doc", "hash", "u", "v", "none", "first", "component_id"]
+
+
+@pytest.mark.parametrize("at", range(4))
+def test_stages_keep_clashing_columns(spark, at):
+    docs = [(i % 9, f"text of some words number {i // 2} and more\nline", "en", f"s{i % 2}", i) for i in range(24)] + [(None, None, None, None, None), (50, "", "en", None, 1)]
+    df = spark.createDataFrame([(*d, *(f"{n} of {d[1]}" for n in NAMES)) for d in docs], SCHEMA + "".join(f", {n} string" for n in NAMES))
+    got = corpus_pipeline.STAGES[at][1](spark, df, "")
+    assert got.columns == df.columns
+    found = got.collect()
+    assert found and all(x[f] == f"{f} of {t}" for x in found for f in NAMES for t in [x["size"].removeprefix("size of ")])
+    texts = {str(d[1]) for d in docs}
+    assert all(x["size"].removeprefix("size of ") in texts for x in found)
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_stages_of_nothing(spark, at):
+    assert corpus_pipeline.STAGES[at][1](spark, spark.createDataFrame([], SCHEMA), "").count() == 0
