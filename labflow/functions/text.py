@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,41 +100,60 @@ def is_row_header(c: Column) -> Column:
 
 
 def is_footer(c: Column) -> Column:
-    return matches(strip(c), P.FOOTERS) & ~has_number(c) & ~has_unit(c)
+    return matches(c, P.FOOTERS) & ~has_number(c) & ~has_unit(c)
 
 
 def is_lab_line(c: Column) -> Column:
     return has_value(c) & (has_unit(c) | has_range(c) | has_flag(c))
 
 
+def is_contact(c: Column) -> Column:
+    """Ways to reach someone; an address of mail is looked for only where there is an @."""
+    return matches(c, P.NOISE["contact"]) | (c.contains("@") & matches(c, P.MAIL))
+
+
 def noise_kind(c: Column) -> Column:
     """Which kind of noise a line is, or null; one alternation for each kind."""
-    t = collapse(c)
-    kind = F.when(F.lower(t).isin(*P.DESCRIPTORS), "label")
+    t = strip(c)
+    kind = F.when(is_label(t), "label")
     for name, pattern in P.NOISE.items():
-        kind = kind.when(matches(t, pattern), name)
+        kind = kind.when(is_contact(t) if name == "contact" else matches(t, pattern), name)
     return kind
 
 
 def is_descriptor(c: Column) -> Column:
+    """Nothing but a word of an assay."""
     return F.lower(collapse(c)).isin(*P.DESCRIPTORS)
 
 
+def is_label(c: Column) -> Column:
+    """Nothing but a word of an assay, a column's head or a panel."""
+    return F.lower(collapse(c)).isin(*P.DESCRIPTORS, *P.COLUMN_LABELS, *P.PANELS)
+
+
 def is_disclaimer(c: Column) -> Column:
-    t = strip(c)
-    prose = (F.length(t) >= 60) & t.endswith(".") & matches(t, "(?i)\\b(?:diabetes|mellitus|kidney|liver|disease|disorder|albumin|organ|damage|laboratory|liable|delay|performance|obligation|arising|connection|events)\\b")
-    return matches(t, "^v\\s{2,}") | ((F.length(t) >= 80) & ~matches(F.substring(t, 1, 30), "\\d")) | prose
+    t, low = strip(c), F.lower(c)
+    said = F.lit(False)
+    for part in P.DISCLAIMERS:
+        said = said | low.contains(part)
+    prose = (F.length(t) >= 60) & t.endswith(".") & matches(t, P.PROSE)
+    return said | matches(t, "^v\\s{2,}") | ((F.length(t) >= 80) & ~matches(F.substring(t, 1, 30), "\\d")) | prose
+
+
+def escaped(words: tuple[str, ...]) -> str:
+    """An alternation of the words as they are."""
+    return "(?:" + "|".join(re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", w) for w in words) + ")"
 
 
 def is_method(c: Column) -> Column:
-    return matches(F.lower(strip(c)), "^(?:method|technology|specimen|note|remarks?|comments?|interpretation|clinical significance|reference|please|kindly)\\b")
+    """A line that begins as one without data does."""
+    return matches(F.lower(strip(c)), "^" + escaped(P.NO_DATA))
 
 
 def is_interpretation(c: Column) -> Column:
     """A line of an interpretation table."""
     t = strip(c)
-    rules = (r"^(?:>=|<=|>|<)\s*\d+(?:\.\d+)?%\s*:", r"(?i)^As per\b", r"^(?:VERY HIGH|BORDERLINE HIGH|NEAR OPTIMAL|OPTIMAL)\s+[<>]", r"^[<>]\s*\d+\s*:", r"^(?:HIGH|LOW|NORMAL|OPTIMAL|DESIRABLE)\s+\d", r"^[<>]\d+[A-Z]", r"^\d+(?:\.\d+)?\s*[-–]\s*\d+(?:\.\d+)?(?:\s+\S+)?\s*:", r"(?i)^VALUE\s+UNITS", r"(?i)\d+[-–]\d+/HPF", r"(?i)\d+\s+out of range\b", r"(?i)\bwithin range\b", r"(?i)\b(?:1st|2nd|3rd)\s+trimester\b", r"(?i)^very high\s*[-–]")
-    return matches(t, "|".join(f"(?:{r})" for r in rules))
+    return matches(t, "|".join(P.INTERPRETATIONS)) | (matches(t, P.GLUED_RANGE[0]) & matches(t, P.GLUED_RANGE[1]))
 
 
 def starts_with_value(c: Column) -> Column:
@@ -152,32 +173,54 @@ def is_value_only(c: Column) -> Column:
 
 
 def is_name_only(c: Column) -> Column:
+    """A block that may be a name: letters, and no value by itself."""
+    return matches(strip(c), "[A-Za-z]{3,}") & ~is_value_only(c)
+
+
+def is_range_only(c: Column) -> Column:
+    """A range by itself; one with a sign may have a unit behind it."""
+    return is_range(c) | matches(strip(c), r"^(?:<=|>=|<|>|≤|≥)\s*\d+(?:\.\d+)?(?:\s+[A-Za-z%/]+)?$")
+
+
+def is_name_line(c: Column) -> Column:
+    """A name by itself, as column layouts have it: a heading's shape without number, unit or range."""
     t = strip(c)
-    return matches(t, "[A-Za-z]{3,}") & ~is_value_only(t) & ~has_number(t) & ~has_unit(t)
+    return (F.length(t) >= 3) & ~has_number(t) & ~has_unit(t) & ~has_range(t) & matches(t, P.HEADER_SHAPE)
 
 
 def is_technology_only(c: Column) -> Column:
-    return matches(strip(c), "^(?:" + "|".join(P.TECHNOLOGIES) + ")$")
+    return matches(strip(c), f"^{P.TECHNOLOGY}$")
 
 
 def is_meaningful_name(c: Column) -> Column:
     t = strip(c)
-    return (F.length(t) > 0) & (t != "Ambiguous test name") & ~is_descriptor(t) & ~is_unit(t) & matches(t, "[A-Za-z]{3}")
+    return (F.length(t) > 0) & ~is_descriptor(t) & ~is_unit(t) & matches(t, "[A-Za-z]{3}")
 
 
 def split_glued(c: Column) -> Column:
-    """Part values, units and ranges that were glued together: a digit from letters, a unit from a range, a closing bracket from what follows."""
-    c = F.regexp_replace(c, "(?<=[a-z)])(?=\\d+(?:\\.\\d+)?\\s)", " ")
-    c = F.regexp_replace(c, f"(?<=\\d)(?=(?:mg|gm?|ng|pg|IU|mIU|U|mmol|mEq|cells|million|lakhs)/)", " ")
-    c = F.regexp_replace(c, "(?<=/(?:dL|mL|L|dl|ml|cumm))(?=\\d)", " ")
-    c = F.regexp_replace(c, "(?<=[a-z])(?=(?:Negative|Positive|Reactive|Present|Absent)\\b)", " ")
-    return F.regexp_replace(c, "\\s{2,}", " ")
+    """Part tokens that a column layout has glued together.
+
+    In this order: a unit from a digit; a digit, a letter or a bracket from a
+    technology, and that from a digit or a name; a qualitative value from a dot,
+    from another one, and from a letter; a name from its value and range, and
+    from a count. Rules that consume both sides run as often as tokens may chain.
+    """
+    tech, said, word = P.TECHNOLOGY, P.QUALITATIVE, "(?:Negative|Positive|Reactive|Present|Absent)"
+    rules = [(f"({P.GLUED_UNIT})(?=\\d)", "$1 ", 2), (f"(\\d)(?={tech})", "$1 ", 1), (f"(?<=[A-Za-z\\])])({tech})", " $1", 1), (f"({tech})(?=\\d)", "$1 ", 2), (f"({tech})(?=[A-Z]{{4}})", "$1 ", 2)]
+    rules += [(f"(?i)(\\w)\\.({said})", "$1 $2", 1), (f"(?i)({said})({said})", "$1 $2", 3), (f"(?i)([a-z])({word})", "$1 $2", 1)]
+    rules += [("([A-Za-z])(\\d+(?:\\.\\d+)?)(\\d+(?:\\.\\d+)?[-–]\\d+(?:\\.\\d+)?)", "$1 $2 $3", 1), ("(?i)([A-Za-z])(\\d+[-–]\\d+/HPF)", "$1 $2", 1)]
+    for pattern, to, times in rules:
+        for _ in range(times):
+            c = F.regexp_replace(c, pattern, to)
+    return c
 
 
 def reorder(c: Column) -> Column:
     """`<unit> <value> <technology> <name>` as `<name> <value> <unit>`; other lines as they are."""
-    pattern = f"(?i)^({P.UNIT})\\s+({P.NUMBER})\\s+(?:{'|'.join(P.TECHNOLOGIES)})\\s+(\\S.+)$"
-    return F.when(matches(c, pattern), F.regexp_replace(c, pattern, "$3 $2 $1")).otherwise(c)
+    pattern = f"(?i)^({P.UNIT})\\s+([-+]?\\d+(?:\\.\\d+)?)\\s+{P.TECHNOLOGY}\\s+(.+)$"
+    t = strip(c)
+    name = strip(F.regexp_extract(t, pattern, 3))
+    return F.when(matches(t, pattern) & (F.length(name) >= 2), F.concat_ws(" ", name, F.regexp_extract(t, pattern, 2), F.regexp_extract(t, pattern, 1))).otherwise(c)
 
 
 def stitch(name: Column, value: Column, unit: Column, span: Column) -> Column:
@@ -201,12 +244,16 @@ def parse_range(c: Column) -> Column:
 
 
 def clean_name(c: Column) -> Column:
-    """A name without labels and descriptors in front, behind, or from within on."""
-    words = "|".join(sorted((d.replace(".", "\\.") for d in P.DESCRIPTORS), key=len, reverse=True))
-    c = F.regexp_replace(collapse(c), f"(?i)(?<=\\S)[\\s(]+(?:{'|'.join(P.TECHNOLOGIES)})\\b.*$", "")
-    c = F.regexp_replace(c, f"(?i)^(?:(?:{words})(?:\\s+|$))+", "")
-    c = F.regexp_replace(c, f"(?i)(?:(?:^|\\s+)(?:{words}))+$", "")
-    return strip(F.regexp_replace(c, "\\s*[<>]+$", ""))
+    """A name without what an assay leaked into it, without labels and descriptors in front and descriptors behind."""
+    longest = lambda words: tuple(sorted(words, key=len, reverse=True))
+    own, heads = (escaped(longest(w)).replace(" ", "\\s+") for w in (P.DESCRIPTORS, (*P.COLUMN_LABELS, *P.DESCRIPTORS)))
+    c = collapse(c)
+    leak = F.regexp_extract(c, f"(?i)^(.+?(?:\\s|\\())(?:{own})\\b", 1)
+    c = F.when(F.length(leak) > 0, F.regexp_replace(leak, "[\\s(]+$", "")).otherwise(c)
+    for _ in range(2):
+        c = F.regexp_replace(c, f"(?i)^(?:{heads}(?:\\s+|$))+", "")
+        c = F.regexp_replace(c, f"(?i)(?:(?:^|\\s+){own})+$", "")
+    return strip(F.regexp_replace(c, "\\s*[<>]\\s*$", ""))
 
 
 def iso_date(c: Column) -> Column:
@@ -276,6 +323,18 @@ def escape_html(c: Column) -> Column:
     return c
 
 
+def size_text(bytes_: Column) -> Column:
+    """A file's size as a reader wants it."""
+    shown = lambda n, digits, unit: F.concat(F.replace(F.format_number(bytes_ / n, digits), F.lit(","), F.lit("")), F.lit(unit))
+    return F.when(bytes_ < 1024, F.concat(bytes_.cast("string"), F.lit(" B"))).when(bytes_ < 1 << 20, shown(1 << 10, 1, " KB")).otherwise(shown(1 << 20, 2, " MB"))
+
+
+def without_heads(c: Column) -> Column:
+    """A row of a page without the heads of columns in front of it."""
+    t = strip(c)
+    return F.when(matches(t, P.COLUMN_HEAD), strip(F.regexp_replace(t, P.COLUMN_HEADS, ""))).otherwise(t)
+
+
 def leading_name(c: Column) -> Column:
     return strip(F.regexp_extract(c, "^([^\\d<>≤≥]+)", 1))
 

@@ -45,41 +45,47 @@ def row_lines(items: DataFrame) -> DataFrame:
 
 def is_title(c: Column) -> Column:
     t = T.strip(c)
-    return t.rlike("^[A-Z][A-Z0-9 \\-&/()]{2,60}$") & ~T.has_number(t)
+    return (F.length(t) <= 70) & t.rlike(P.TITLE) & ~t.rlike("\\d") & ~t.rlike(P.TITLE_UNIT)
 
 
-def is_lab_like(c: Column) -> Column:
-    return c.rlike(f"{P.NUMBER}") & (T.has_unit(c) | T.has_range(c))
+def is_boilerplate(c: Column) -> Column:
+    return T.strip(c).rlike(P.BLOCK_BOILERPLATE)
 
 
 def edges(lines: DataFrame) -> DataFrame:
-    """lines with at_edge: header and footer texts, and rows among a page's first or last four that come at the same height on two pages."""
-    down, up = Window.partitionBy("doc_id", "page").orderBy("row_ix"), Window.partitionBy("doc_id", "page").orderBy(F.desc("row_ix"))
-    r = lines.withColumn("near", (F.row_number().over(down) <= EDGE_ROWS) | (F.row_number().over(up) <= EDGE_ROWS))
+    """lines with at_edge: texts of headers and footers, and rows that come at about the same height among the first four of two pages, or among the last four."""
+    page = Window.partitionBy("doc_id", "page")
     step = F.floor(F.col("y") / EDGE_STEP + 0.5) * EDGE_STEP
-    r = r.withColumn("edge_y", step).withColumn("edge_text", F.substring(T.collapse(F.lower("text")), 1, 60))
-    key = Window.partitionBy("doc_id", "edge_y", "edge_text", "near")
-    again = F.min("page").over(key) < F.max("page").over(key)
-    return r.withColumn("at_edge", (F.col("near") & again) | T.is_page_marker(F.col("text")) | T.is_footer(F.col("text"))).drop("near", "edge_y", "edge_text")
+    r = lines.withColumns({"_top": F.row_number().over(page.orderBy("row_ix")) <= EDGE_ROWS, "_low": F.row_number().over(page.orderBy(F.desc("row_ix"))) <= EDGE_ROWS, "_y": step, "_text": F.substring(T.collapse(F.lower("text")), 1, 60)})
+    key = Window.partitionBy("doc_id", "_y", "_text")
+    twice = lambda where: F.col(where) & F.coalesce(F.min(F.when(F.col(where), F.col("page"))).over(key) < F.max(F.when(F.col(where), F.col("page"))).over(key), F.lit(False))
+    t = T.strip(F.col("text"))
+    return r.withColumn("at_edge", twice("_top") | twice("_low") | t.rlike(P.PAGE_HEADERS) | t.rlike(P.PAGE_FOOTERS)).drop("_top", "_low", "_y", "_text")
 
 
 def blocks(lines: DataFrame) -> DataFrame:
-    """lines with block_ix: a new block at a page's end, a wide gap, a boilerplate line or a title, and behind those."""
+    """lines with block_ix: a new block at a page's end, a wide gap, a boilerplate line or a title."""
     own = Window.partitionBy("doc_id").orderBy("page", "row_ix")
-    alone = is_title(F.col("text")) | F.coalesce(T.noise_kind(F.col("text")).isin("boilerplate"), F.lit(False))
-    r = lines.withColumn("alone", alone)
     gap = F.abs(F.col("y") - F.lag("y").over(own)) > BLOCK_GAP
-    new = F.lag("page").over(own).isNull() | (F.lag("page").over(own) != F.col("page")) | gap | F.col("alone") | F.lag("alone").over(own)
-    return r.withColumn("block_ix", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(own) - 1).drop("alone")
+    new = F.lag("page").over(own).isNull() | (F.lag("page").over(own) != F.col("page")) | gap | is_title(F.col("text")) | is_boilerplate(F.col("text"))
+    return lines.withColumn("block_ix", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(own) - 1)
 
 
 def block_types(lines: DataFrame) -> DataFrame:
-    """(doc_id, block_ix, type, n_rows): what kind of block the lines make."""
+    """(doc_id, block_ix, type, page, n_rows, block_text): what kind of block the lines make, and their texts, line by line."""
     c = F.col("text")
-    agg = lines.groupBy("doc_id", "block_ix").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(is_lab_like(c)).alias("lab"), F.min_by(c, F.struct("page", "row_ix")).alias("first"), F.max(F.length(c) > 80).alias("prose"))
-    first = F.col("first")
-    kind = F.when(F.coalesce(T.noise_kind(first) == "boilerplate", F.lit(False)), "boilerplate").when((F.col("n_rows") == 1) & is_title(first), "section_title").when((F.col("lab") >= 1) & (F.col("lab") >= 0.4 * F.col("n_rows")), "lab_table").when(F.col("prose"), "paragraph").when(first.rlike("(?i)^(?:name|age|gender|report|sample|ref)\\b"), "metadata").otherwise("unknown")
-    return agg.select("doc_id", "block_ix", kind.alias("type"), "n_rows")
+    prose = (F.length(c) >= 60) & ~F.substring(c, 1, 20).rlike("\\d")
+    texts = F.array_sort(F.collect_list(F.struct("page", "row_ix", "text")))
+    agg = lines.groupBy("doc_id", "block_ix").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(c.rlike(P.LAB_ROW)).alias("lab"), texts.alias("all"), F.max(prose).alias("prose"))
+    first = T.strip(F.get("all", F.lit(0))["text"])
+    kind = F.when(is_boilerplate(first), "boilerplate").when((F.col("n_rows") == 1) & is_title(first), "section_title").when((F.col("lab") >= 1) & (F.col("lab") >= 0.4 * F.col("n_rows")), "lab_table").when(F.col("prose"), "paragraph").when(first.rlike(P.BLOCK_METADATA), "metadata").otherwise("unknown")
+    return agg.select("doc_id", "block_ix", kind.alias("type"), F.get("all", F.lit(0))["page"].alias("page"), "n_rows", F.array_join(F.transform("all", lambda x: x.text), "\n").alias("block_text"))
+
+
+def width(items: DataFrame, *by: str) -> DataFrame:
+    """(by, width): where the last item of each page, or block, ends."""
+    by = by or ("doc_id", "page")
+    return items.groupBy(*by).agg(F.max(F.col("x") + F.col("width")).alias("width"))
 
 
 def column_bands(items: DataFrame, *by: str) -> DataFrame:
@@ -139,21 +145,35 @@ def candidate_lines(tables: DataFrame) -> DataFrame:
     return tables.where(has).select("doc_id", "block_ix", "entry_ix", F.concat_ws(" ", part("test_name"), part("value"), part("unit"), part("range_text"), part("flag")).alias("line"))
 
 
-def without_edges(items: DataFrame, lines: DataFrame) -> DataFrame:
-    """Items of rows that aren't header or footer."""
-    return items.join(lines.where("at_edge").select("doc_id", "page", "row_ix"), ["doc_id", "page", "row_ix"], "left_anti")
+def without_edges(items: DataFrame, excluded: Column, *row: str) -> DataFrame:
+    """Items of rows of which not every item is excluded."""
+    row = row or ("doc_id", "page", "row_ix")
+    every = F.min(excluded.cast("int")).over(Window.partitionBy(*row))
+    return items.withColumn("_every", every).where("_every = 0").drop("_every")
+
+
+def page_text(items: DataFrame) -> DataFrame:
+    """(doc_id, page, text) of positioned items: their rows from top to bottom, items joined by a blank, empty rows left out."""
+    own = rows(items).groupBy("doc_id", "page", "row_ix").agg(F.array_sort(F.collect_list(F.struct("x", "item_id", "text"))).alias("i"))
+    lines = own.select("doc_id", "page", "row_ix", F.array_join(F.transform("i", lambda s: s.text), " ").alias("line")).where(F.length(T.strip(F.col("line"))) > 0)
+    return lines.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_ix", "line"))), lambda s: s.line), "\n").alias("text"))
 
 
 def to_lines(items: DataFrame) -> DataFrame:
     """(doc_id, line_ix, line) of positioned items: tables rebuilt by columns, other rows as they are, headers and footers gone."""
     placed = rows(items)
-    lines = blocks(edges(row_lines(placed)).where("not at_edge"))
-    kinds = block_types(lines)
+    lines = row_lines(placed)
+    marked = placed.join(edges(lines).select("doc_id", "page", "row_ix", "at_edge"), ["doc_id", "page", "row_ix"])
+    placed = without_edges(marked, F.col("at_edge")).drop("at_edge")
+    lines = blocks(edges(lines).where("not at_edge"))
+    kinds = block_types(lines).select("doc_id", "block_ix", "type")
     table = entry_groups(lines.join(kinds.where("type = 'lab_table'").select("doc_id", "block_ix"), ["doc_id", "block_ix"]))
     inside = placed.join(table.select("doc_id", "page", "row_ix", "block_ix", "entry_ix"), ["doc_id", "page", "row_ix"])
     bands = column_bands(inside)
     roles = nearest_band(inside, band_roles(inside, bands))
     built = candidate_lines(table_rows(roles)).join(bands.select("doc_id", "block_ix").distinct(), ["doc_id", "block_ix"])
-    plain = lines.join(bands.select("doc_id", "block_ix").distinct(), ["doc_id", "block_ix"], "left_anti").join(kinds.where("type in ('boilerplate', 'paragraph')"), ["doc_id", "block_ix"], "left_anti")
-    both = built.select("doc_id", "block_ix", F.col("entry_ix").alias("k"), "line").unionByName(plain.select("doc_id", "block_ix", F.col("row_ix").alias("k"), F.col("text").alias("line")))
+    plain = lines.join(bands.select("doc_id", "block_ix").distinct(), ["doc_id", "block_ix"], "left_anti").join(kinds.where("type not in ('boilerplate', 'paragraph')"), ["doc_id", "block_ix"])
+    line = F.when(F.col("type").isin("metadata", "unknown"), T.without_heads(F.col("text"))).otherwise(T.strip(F.col("text")))
+    plain = plain.withColumn("line", line).where(F.length("line") > 0)
+    both = built.select("doc_id", "block_ix", F.col("entry_ix").alias("k"), "line").unionByName(plain.select("doc_id", "block_ix", F.col("row_ix").alias("k"), "line"))
     return both.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("block_ix", "k", "line")) - 1).alias("line_ix"), "line")

@@ -71,44 +71,66 @@ def normalise(entries: DataFrame, synonyms: dict[str, str] | None = None) -> Dat
     return entries.withColumn("category", F.coalesce(F.element_at(T.lit_map(true_categories()), F.col("test_name")), F.col("section"))).withColumn("suppressed", F.col("section_kind") == "noise")
 
 
-def score(uncertain: Column, low: Column, high: Column, unit: Column, value: Column) -> Column:
+def score(uncertain: Column, has_range: Column, unit: Column, value: Column) -> Column:
     """How complete an entry is: 8 certain, 4 range, 2 unit, 1 value."""
     has = lambda c: F.coalesce(F.length(c) > 0, F.lit(False)).cast("int")
-    return 8 * (~uncertain).cast("int") + 4 * (low.isNotNull() | high.isNotNull()).cast("int") + 2 * has(unit) + has(value)
+    return 8 * (~uncertain).cast("int") + 4 * has_range.cast("int") + 2 * has(unit) + has(value)
 
 
 def deduplicate(entries: DataFrame) -> DataFrame:
-    """entries with `fate`: kept, duplicate_merged or cross_section.
+    """entries with score, fate (kept, duplicate_merged, cross_section or suppressed), and name_order and group_order.
 
     Of one name and category the most complete entry stays, the first of equals.
-    A name that has a category loses its uncategorized copies. One shuffle by
-    doc_id and name serves both windows.
+    A name that has a category loses its uncategorized copies. Suppressed
+    entries take no part. What is kept comes in the order of its name's first
+    entry, then of its name and category's. One shuffle by doc_id and name serves
+    all windows.
     """
-    by_name = Window.partitionBy("doc_id", F.lower("test_name"))
-    by_both = Window.partitionBy("doc_id", F.lower("test_name"), F.lower("category"))
-    s = score(F.col("uncertain"), F.col("low"), F.col("high"), F.col("unit"), F.col("value"))
-    entries = entries.withColumn("score", s).withColumn("place", F.row_number().over(by_both.orderBy(F.desc("score"), "ord")))
-    has_category = F.max((F.lower("category") != "uncategorized").cast("int")).over(by_name) == 1
-    entries = entries.withColumn("categorised", has_category)
-    fate = F.when(F.col("place") > 1, "duplicate_merged").when(F.col("categorised") & (F.lower("category") == "uncategorized"), "cross_section").otherwise("kept")
-    return entries.withColumn("fate", fate).drop("place", "categorised")
+    gone = F.coalesce(F.col("suppressed"), F.lit(False)) if "suppressed" in entries.columns else F.lit(False)
+    has_range = F.col("low").isNotNull() | F.col("high").isNotNull()
+    if "range_text" in entries.columns:
+        has_range = has_range | F.col("range_text").isNotNull()
+    s = score(F.col("uncertain"), has_range, F.col("unit"), F.col("value"))
+    entries = entries.withColumns({"score": s, "_gone": gone, "_name": F.lower("test_name"), "_category": F.lower("category")})
+    by_name = Window.partitionBy("doc_id", "_name", "_gone")
+    by_both = Window.partitionBy("doc_id", "_name", "_gone", "_category")
+    entries = entries.withColumns({"_place": F.row_number().over(by_both.orderBy(F.desc("score"), "ord")), "group_order": F.min("ord").over(by_both)})
+    entries = entries.withColumns({"_some": F.max((F.col("_category") != "uncategorized").cast("int")).over(by_name), "name_order": F.min("ord").over(by_name)})
+    fate = F.when(F.col("_gone"), "suppressed").when(F.col("_place") > 1, "duplicate_merged").when((F.col("_some") == 1) & (F.col("_category") == "uncategorized"), "cross_section").otherwise("kept")
+    return entries.withColumn("fate", fate).drop("_gone", "_name", "_category", "_place", "_some")
+
+
+#: Decisions that an audit tells of.
+KINDS = ("entry_suppressed", "section_reclassified", "category_normalized", "section_suppressed", "name_canonicalized", "duplicate_merged")
 
 
 def audit(entries: DataFrame) -> DataFrame:
-    """(doc_id, ord, kind, raw_name, test_name, raw_category, category): an event for each decision, of normalised and deduplicated entries."""
-    event = lambda where, kind: entries.where(where).select("doc_id", "ord", F.lit(kind).alias("kind"), "raw_name", "test_name", "raw_category", "category")
-    out = event(F.col("suppressed"), "section_suppressed")
-    for where, kind in (
-        (~F.col("suppressed") & (F.col("section") != T.strip(F.col("raw_category"))), "category_normalized"),
-        (~F.col("suppressed") & (F.col("category") != F.col("section")), "category_overridden"),
-        (~F.col("suppressed") & (F.col("test_name") != T.strip(F.col("raw_name"))), "name_canonicalized"),
-        (~F.col("suppressed") & (F.col("fate") == "duplicate_merged"), "duplicate_merged"),
-        (~F.col("suppressed") & (F.col("fate") == "cross_section"), "cross_section_suppressed"),
-    ):
-        out = out.unionByName(event(where, kind))
-    return out
+    """(doc_id, ord, stage, kind, raw_name, test_name, raw_category, category): an event for each decision on normalised and deduplicated entries, suppressed ones included.
+
+    stage is the step that decided, so (stage, ord) is the order of a report's
+    events: 1 sections, 2 noise sections as a whole (once each, at the ord of
+    their first entry), 3 names, 4 a known name's own category, 5 duplicates,
+    6 uncategorized copies. All events of an entry come from one pass over it.
+    """
+    noise, pseudo = F.col("section_kind") == "noise", F.col("section_kind") == "pseudo"
+    uncategorized, same = F.lit("Uncategorized"), F.col("category")
+    events = (
+        (noise, 1, "entry_suppressed", F.lit(None).cast("string")),
+        (pseudo, 1, "section_reclassified", uncategorized),
+        (~noise & ~pseudo & (F.col("section") != F.col("raw_category")), 1, "category_normalized", F.col("section")),
+        (~noise & (F.col("test_name") != T.strip(F.col("raw_name"))), 3, "name_canonicalized", F.lit(None).cast("string")),
+        (~noise & (F.col("category") != F.col("section")), 4, "category_normalized", same),
+        (F.col("fate") == "duplicate_merged", 5, "duplicate_merged", same),
+        (F.col("fate") == "cross_section", 6, "duplicate_merged", same),
+    )
+    told = F.array(*(F.when(where, F.struct(F.lit(stage).alias("stage"), F.lit(kind).alias("kind"), category.alias("category"))) for where, stage, kind, category in events))
+    out = entries.select("doc_id", F.col("ord").cast("long").alias("ord"), "raw_name", "test_name", "raw_category", F.explode(F.filter(told, lambda x: x.isNotNull())).alias("e"))
+    out = out.select("doc_id", "ord", "e.stage", "e.kind", "raw_name", "test_name", "raw_category", "e.category")
+    none = F.lit(None).cast("string")
+    sections = entries.where(noise).groupBy("doc_id", "raw_category").agg(F.min("ord").cast("long").alias("ord"))
+    return out.unionByName(sections.select("doc_id", "ord", F.lit(2).alias("stage"), F.lit("section_suppressed").alias("kind"), none.alias("raw_name"), none.alias("test_name"), "raw_category", none.alias("category")))
 
 
 def audit_report(events: DataFrame) -> DataFrame:
-    kinds = ("section_suppressed", "category_normalized", "category_overridden", "name_canonicalized", "duplicate_merged", "cross_section_suppressed")
-    return events.groupBy("doc_id").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in kinds))
+    """(doc_id, and how many events of each kind)."""
+    return events.groupBy("doc_id").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in KINDS))

@@ -29,13 +29,13 @@ def severity_rank(c: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for i, s in enumerate(P.SEVERITIES) for x in (s, i))), c), F.lit(len(P.SEVERITIES)))
 
 
-def findings(entries: DataFrame) -> DataFrame:
-    """entries (value, flag, low, high, uncertain, unit, ...) with severity, bucket, shown_severity and interpretation."""
-    s = severity(F.col("value"), F.col("flag"), F.col("low"), F.col("high"))
+def findings(entries: DataFrame, corrected: bool = False) -> DataFrame:
+    """entries (value, flag, low, high, uncertain, unit, and range_text or not) with severity, bucket, shown_severity and interpretation."""
+    s = severity(F.col("value"), F.col("flag"), F.col("low"), F.col("high"), corrected)
     out = entries.withColumn("severity", s).withColumn("bucket", bucket(F.col("severity"), F.col("uncertain")))
     # An uncertain entry in range is listed as high.
     shown = F.when((F.col("bucket") == "uncertain") & (F.col("severity") == "normal"), "high").otherwise(F.col("severity"))
-    said = T.interpretation(F.col("severity"), F.col("low"), F.col("high"), F.lit(None).cast("string"), F.col("unit"))
+    said = T.interpretation(F.col("severity"), F.col("low"), F.col("high"), F.col("range_text") if "range_text" in entries.columns else F.lit(None).cast("string"), F.col("unit"))
     return out.withColumn("shown_severity", shown).withColumn("interpretation", said)
 
 

@@ -9,15 +9,20 @@ SECTIONS = ("cbc", "LIPID PROFILE", "Test Asked", "Full Body Checkup", "Uncatego
 LINES = (
     "LIPID PROFILE", "CHOLESTEROL # mg/dL 150-200", "TRIGLYCERIDES", "# mg/dL", "0-150", "", "Page : 1 of 2", "-----", "HEMOGLOBIN # g/dL H 12.0-16.0 venous",
     "Complete Blood Count", "GLUCOSE # mg/dL XYZ 70-100", "#", "Method: CLIA", "SODIUM # mEq/L < 145", "HIV Non-Reactive", "Report Date : 09/03/2026", "Name : Test Person (30Y/F)", "Phone : 555 0100", "EXAMPLE DIAGNOSTICS LABORATORY",
+    "SERUM UREA", "(BY ENZYME)", "10-50", "4.5-5.5", "> 240", "Negative", "# IU/L", "CALCULATED", "FREE T3 # pg/mL 2.0 - 4.4", "URIC ACID # mg/dL * 3.5-7.2 CALCULATED", "KETONES Negative Negative", "VITAMIN B12 # pg/mL > 200 repeat", "UNITS CREATININE # mg/dL 0.6-1.2", "160-189 : High Risk", "Dr. Some One", "within range", "CHLORIDE # U/L H", "E.C.L.I.A ng/dL 80-200",
 )
+#: Runs of lines as column layouts leave them.
+RUNS = (
+    ("mg/dL", "#", "GLUCOSE", "70-100"), ("mg/dL", "#", "150-200", "CHOLESTEROL"), ("g/dL", "#", "HEMOGLOBIN"), ("%", "#", "4.0-5.6"), ("mg/dL", "#"), ("E.C.L.I.A", "FREE THYROXINE", "0.5-5.0"), ("CLIA", "PROLACTIN"), ("pg/mL # E.C.L.I.A VITAMIN B-12",), ("SODIUM # mEq/L 135-145",), ("U/L",), ("#",), ("UREA", "# mg/dL", "10-50"), ("EXAMPLE DIAGNOSTICS LABORATORY", "12 Long Lane", "Phone : 555 0100"), ("LIPID PROFILE",), ("ng/mL", "Negative", "HEPATITIS SCREEN", "< 30 mg/dl"), ("IU/L", "#", "ng/mL", "#"),
+)
 
 
-def _case(expression: str, values: tuple[str, ...]) -> str:
+def case(expression: str, values: tuple[str, ...]) -> str:
     return f"CASE {expression} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
 
 
 LAB_ENTRIES = f"""
-SELECT user_id AS doc_id, event_id AS ord, {_case("event_id % 8", NAMES)} AS raw_name, {_case("event_id % 6", SECTIONS)} AS raw_category,
+SELECT user_id AS doc_id, event_id AS ord, {case("event_id % 8", NAMES)} AS raw_name, {case("event_id % 6", SECTIONS)} AS raw_category,
   CASE WHEN event_id % 11 = 0 THEN 'Negative' ELSE CAST(CAST(floor(value) AS BIGINT) AS STRING) END AS value,
   CASE WHEN event_id % 3 = 0 THEN 'MG/DL' WHEN event_id % 3 = 1 THEN 'furlong' END AS unit,
   CASE event_id % 13 WHEN 0 THEN 'H' WHEN 1 THEN 'L' WHEN 2 THEN 'CRITICAL' END AS flag,
@@ -27,13 +32,23 @@ FROM events"""
 
 REPORT_LINES = f"""
 SELECT doc_id, CAST(n - 1 AS INT) AS line_ix, replace(line, '#', CAST(CAST(q AS BIGINT) AS STRING)) AS line FROM (
-  SELECT l_orderkey AS doc_id, l_quantity AS q, {_case(f"(l_partkey + l_linenumber) % {len(LINES)}", LINES)} AS line,
+  SELECT l_orderkey AS doc_id, l_quantity AS q, {case(f"(l_partkey + l_linenumber) % {len(LINES)}", LINES)} AS line,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS n
   FROM lineitem) AS numbered"""
 
-SPATIAL_ITEMS = """
+_BY_ORDER = "ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate"
+_RUNS = f"SELECT l_orderkey AS doc_id, l_quantity AS q, (l_partkey + l_linenumber) % {len(RUNS)} AS run, row_number() OVER (PARTITION BY l_orderkey {_BY_ORDER}) AS n FROM lineitem"
+_PARTS = " UNION ALL ".join(f"SELECT doc_id, n, {k} AS k, q, {case('run', tuple(r[k] if k < len(r) else '' for r in RUNS))} AS line FROM ({_RUNS}) AS r{k}" for k in range(4))
+COLUMN_LINES = f"""
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, k) - 1 AS INT) AS line_ix, replace(line, '#', CAST(CAST(q AS BIGINT) AS STRING)) AS line
+FROM ({_PARTS}) AS parts WHERE line <> ''"""
+
+#: What stands in each column of a page.
+CELLS = ("CHOLESTEROL", "#", "mg/dL", "150-200", "H", "Total Panel", "SERUM")
+
+SPATIAL_ITEMS = f"""
 SELECT doc_id, CAST(n % 2 AS INT) AS page, CAST(n AS INT) AS item_id, CAST((l_partkey % 7) * 60 + l_suppkey % 3 AS DOUBLE) AS x,
-  CAST(700 - (l_suppkey % 9) * 9 - l_linenumber AS DOUBLE) AS y, 30.0e0 AS width, 8.0e0 AS height, CAST(CAST(l_quantity AS BIGINT) AS STRING) AS text FROM (
+  CAST(700 - (l_suppkey % 9) * 9 - l_linenumber AS DOUBLE) AS y, 30.0e0 AS width, 8.0e0 AS height, replace({case('l_partkey % 7', CELLS)}, '#', CAST(CAST(l_quantity AS BIGINT) AS STRING)) AS text FROM (
   SELECT l_orderkey AS doc_id, l_partkey, l_suppkey, l_linenumber, l_quantity,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS n
   FROM lineitem) AS numbered"""
@@ -55,5 +70,9 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem", REPORT_LINES)
 
 
+def column_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem", COLUMN_LINES)
+
+
 def spatial_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem", SPATIAL_ITEMS)
