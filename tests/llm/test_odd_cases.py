@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from labflow.llm import bpe, langid, linededup, mixing, sharding, simhash, tiff, toxicity
+from labflow.llm import bpe, langid, linededup, mixing, sharding, simhash, tiff, topk, toxicity
 from test_operators import fingerprint, reference, sentence, some_docs  # noqa: F401
 
 KINDS = "doc_id long, text string, source string"
@@ -333,3 +333,12 @@ def test_a_cluster_has_to_name_its_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint.dir"):
         common.cut(type("Frame", (), {"sparkSession": Session()})())
+
+
+def test_top_k_evaluates_no_more_than_it_meets(spark):
+    r = np.random.default_rng(8)
+    centres = r.integers(-20, 21, (12, 3)).astype(float)
+    rows = spark.createDataFrame([(i, (centres[i % 12] + r.normal(0, 0.2, 3)).tolist()) for i in range(3000)], "vec_id long, embedding array<double>")
+    found = topk.top_k(rows, F.col("vec_id") % 500 == 0, 5, block=600, shares=True).collect()
+    assert {x["query_id"] for x in found} == set(range(0, 3000, 500)) and all(x["met"] == 2999 for x in found)
+    assert sum(x["evaluated"] for x in found) < 0.5 * sum(x["met"] for x in found)
