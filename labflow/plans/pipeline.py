@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,12 @@ class Results:
     findings: DataFrame
     audit: DataFrame
     summary: DataFrame
+    #: What all of them share: the rows found, which Spark keeps from the first use on.
+    found: DataFrame
+
+    def release(self) -> None:
+        """Let go of what is kept; the tables stay good, and are computed anew."""
+        self.found.unpersist()
 
 
 def _scrubbed(texts: Column) -> Column:
@@ -49,6 +56,8 @@ def analyze(docs: DataFrame, items: DataFrame | None = None, synonyms: dict[str,
     extraction enabled, a document's results come from the labels of its blocks,
     unless they yield too little. A document without a text has failed: its
     report is empty, and says so. Metadata are those of the text, before layout.
+    The rows found, far less than the texts, are kept on the executors (in memory,
+    or on disk where that is short; a lost part is computed anew) until release().
     """
     own = own or settings(docs.sparkSession)
     status = F.col("extraction_status") if "extraction_status" in docs.columns else ingest.status(F.col("text"))
@@ -59,7 +68,7 @@ def analyze(docs: DataFrame, items: DataFrame | None = None, synonyms: dict[str,
     if items is not None:
         laid = L.to_lines(items).join(state.where("status <> 'failed'").select("doc_id"), "doc_id", "left_semi")
         lines = Q.clean(laid).unionByName(cleaned.join(laid.select("doc_id").distinct(), "doc_id", "left_anti"))
-    found = Q.detect(Q.carry_category(lines))
+    found = Q.detect(Q.carry_category(lines)).persist(StorageLevel.MEMORY_AND_DISK)
     parsed = E.fields(found.where("classification is not null"))
     warned = found.where("exceeded").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_ix", Q.merge_warning().alias("t")))), lambda x: x.t).alias("warnings"))
     ready = parsed.where(E.is_entry(parsed))
@@ -89,4 +98,4 @@ def analyze(docs: DataFrame, items: DataFrame | None = None, synonyms: dict[str,
     kept = R.findings(named.where("fate = 'kept'"), own.corrected)
     summary = E.with_empty(docs, R.counts(kept, "doc_id")).join(about, "doc_id", "left").join(sure, "doc_id", "left").fillna(0.0, ["confidence"])
     summary = R.overview(summary.withColumn("report_date", F.col("report_date").cast("string")))
-    return Results(named, about, quality, kept, S.audit(named), summary)
+    return Results(named, about, quality, kept, S.audit(named), summary, found)
