@@ -538,7 +538,7 @@ LAYOUT_SQL = f""", kept AS (SELECT * FROM edged WHERE NOT at_edge), {TYPED_SQL.r
  banded AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, block_ix ORDER BY x ROWS UNBOUNDED PRECEDING) - 1 AS band FROM (SELECT *, coalesce(x - lag(x) OVER (PARTITION BY doc_id, block_ix ORDER BY x) > 18, true)::INT AS new FROM inside)),
  bands AS (SELECT doc_id, block_ix, band, min(x) AS x_min, max(x) AS x_max FROM banded GROUP BY doc_id, block_ix, band QUALIFY count(*) OVER (PARTITION BY doc_id, block_ix) >= 2),
  sample AS (SELECT b.doc_id, b.block_ix, b.band, i.text FROM bands b JOIN inside i ON i.doc_id = b.doc_id AND i.block_ix = b.block_ix AND i.x BETWEEN b.x_min - 5 AND b.x_max + 5 QUALIFY row_number() OVER (PARTITION BY b.doc_id, b.block_ix, b.band ORDER BY item_id) <= 10),
- roles AS (SELECT doc_id, block_ix, band, CASE WHEN band = 0 THEN 'testName' WHEN bool_or({only_sql('text', P.FLAG)}) THEN 'flag' WHEN bool_or({only_sql('text', P.SPAN + '|' + P.COMPARISON)}) THEN 'referenceRange' WHEN bool_or({only_sql('text', UNIT_ONLY)}) THEN 'unit' WHEN bool_or({only_sql('text', VALUE_ONLY)}) THEN 'value' ELSE 'unknown' END AS role FROM sample GROUP BY ALL),
+ roles AS (SELECT doc_id, block_ix, band, CASE WHEN band = 0 THEN 'testName' WHEN bool_or({only_sql('text', P.FLAG)}) THEN 'flag' WHEN bool_or({only_sql('text', P.SPAN + '|' + P.COMPARISON)}) THEN 'referenceRange' WHEN bool_or({only_sql('text', UNIT_ONLY)}) THEN 'unit' WHEN bool_or({only_sql('text', VALUE_ONLY)}) THEN 'value' ELSE 'unknown' END AS role FROM sample GROUP BY doc_id, block_ix, band),
  cells AS (SELECT i.*, CASE WHEN greatest(x_min - i.x, i.x - x_max, 0) <= 80 THEN role ELSE 'unknown' END AS role FROM inside i JOIN bands b USING (doc_id, block_ix) JOIN roles USING (doc_id, block_ix, band) QUALIFY row_number() OVER (PARTITION BY i.doc_id, item_id, i.page ORDER BY greatest(x_min - i.x, i.x - x_max, 0), band) = 1),
  slots AS (SELECT doc_id, block_ix, entry_ix, {', '.join(f"string_agg(text, ' ' ORDER BY page, row_ix, x, text) FILTER (role = '{r}') AS {r}" for r in ('testName', 'value', 'unit', 'referenceRange', 'flag'))} FROM cells GROUP BY ALL),
  both_ AS (SELECT doc_id, block_ix, entry_ix AS k, concat_ws(' ', testName, value, unit, referenceRange, flag) AS line FROM slots WHERE testName IS NOT NULL OR value IS NOT NULL
