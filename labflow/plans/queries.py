@@ -473,7 +473,7 @@ def labelled_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BANDS_SQL = ITEMS + """, n AS (SELECT *, coalesce(x - lag(x) OVER (PARTITION BY doc_id ORDER BY x) > 18, true)::INT AS new FROM v),
- b AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY x ROWS UNBOUNDED PRECEDING) - 1 AS band FROM n),
+ b AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY x) - 1 AS band FROM n),
  g AS (SELECT doc_id, band, min(x) AS x_min, max(x) AS x_max, count(*) AS n FROM b GROUP BY ALL),
  bands AS (SELECT doc_id, band::BIGINT AS band, x_min, x_max, n FROM g QUALIFY count(*) OVER (PARTITION BY doc_id) >= 2) """
 
@@ -535,7 +535,7 @@ LAYOUT_SQL = f""", kept AS (SELECT * FROM edged WHERE NOT at_edge), {TYPED_SQL.r
  tables AS (SELECT doc_id, page, row_ix, block_ix, (NOT coalesce(regexp_matches(trim(text), '^[0-9<>≤≥+\\-.±]') AND lag(page) OVER o = page AND abs(y - lag(y) OVER o) <= 14, false))::INT AS begins FROM numbered JOIN types USING (doc_id, block_ix) WHERE type = 'lab_table' WINDOW o AS (PARTITION BY doc_id, block_ix ORDER BY page, row_ix)),
  entries AS (SELECT doc_id, page, row_ix, block_ix, sum(begins) OVER (PARTITION BY doc_id, block_ix ORDER BY page, row_ix ROWS UNBOUNDED PRECEDING) - 1 AS entry_ix FROM tables),
  inside AS (SELECT p.*, block_ix, entry_ix FROM placed p JOIN entries USING (doc_id, page, row_ix)),
- banded AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, block_ix ORDER BY x ROWS UNBOUNDED PRECEDING) - 1 AS band FROM (SELECT *, coalesce(x - lag(x) OVER (PARTITION BY doc_id, block_ix ORDER BY x) > 18, true)::INT AS new FROM inside)),
+ banded AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, block_ix ORDER BY x) - 1 AS band FROM (SELECT *, coalesce(x - lag(x) OVER (PARTITION BY doc_id, block_ix ORDER BY x) > 18, true)::INT AS new FROM inside)),
  bands AS (SELECT doc_id, block_ix, band, min(x) AS x_min, max(x) AS x_max FROM banded GROUP BY doc_id, block_ix, band QUALIFY count(*) OVER (PARTITION BY doc_id, block_ix) >= 2),
  sample AS (SELECT b.doc_id, b.block_ix, b.band, i.text FROM bands b JOIN inside i ON i.doc_id = b.doc_id AND i.block_ix = b.block_ix AND i.x BETWEEN b.x_min - 5 AND b.x_max + 5 QUALIFY row_number() OVER (PARTITION BY b.doc_id, b.block_ix, b.band ORDER BY item_id) <= 10),
  roles AS (SELECT doc_id, block_ix, band, CASE WHEN band = 0 THEN 'testName' WHEN bool_or({only_sql('text', P.FLAG)}) THEN 'flag' WHEN bool_or({only_sql('text', P.SPAN + '|' + P.COMPARISON)}) THEN 'referenceRange' WHEN bool_or({only_sql('text', UNIT_ONLY)}) THEN 'unit' WHEN bool_or({only_sql('text', VALUE_ONLY)}) THEN 'value' ELSE 'unknown' END AS role FROM sample GROUP BY doc_id, block_ix, band),
