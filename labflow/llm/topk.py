@@ -45,9 +45,9 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def _scorer(x: np.ndarray, q: np.ndarray) -> np.dtype:
-    """A kind of number in which inner products of x and q are exact: floats below 2^53, longs below 2^63, else Python's."""
+    """The smallest kind of number in which inner products of x and q are exact: floats of 32 or 64 bits, longs, else Python's."""
     most = float(np.abs(x.astype(float)).max(initial=0)) * float(np.abs(q.astype(float)).max(initial=0)) * x.shape[1]
-    return np.dtype(np.float64 if most < 2**52 else np.int64 if most < 2**62 else object)
+    return np.dtype(np.float32 if most < 2**23 else np.float64 if most < 2**52 else np.int64 if most < 2**62 else object)
 
 
 def floors(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> list[int | None]:
@@ -73,28 +73,32 @@ def search(ids: np.ndarray, x: np.ndarray, table_x: np.ndarray, query_ids: np.nd
     bound, until the next bound is under the k-th score (or the least): what
     remains can neither win nor tie.
     """
-    table_x = table_x.T.copy()
+    table_x, table_q = table_x.T.astype(np.float32), table_q.astype(np.float32)
+    reach, gap = table_x.max(axis=1, initial=0).astype(float), np.empty_like(table_x)
     fine_x, fine_q = x.astype(float), q.astype(float)
     norm_x, norm_q = (fine_x * fine_x).sum(axis=1), (fine_q * fine_q).sum(axis=1)
     kind = _scorer(x, q)
     values = x.astype(kind)
     for i, own in enumerate(query_ids.tolist()):
-        # Less what rounding can make of the distances.
-        slack = 1e-12 * (table_x + (table_q[i] + norm_p)[:, None])
-        low = np.maximum(np.abs(table_x - table_q[i][:, None]) - slack, 0).max(axis=0) if len(norm_p) else np.zeros(len(x))
+        # Less what rounding can make of the distances, which have 24 bits here.
+        low = np.zeros(len(x))
+        if len(norm_p):
+            np.subtract(table_x, table_q[i][:, None], out=gap)
+            np.abs(gap, out=gap)
+            low = np.maximum(gap.max(axis=0).astype(float) - 1e-6 * float((reach + table_q[i] + norm_p).max()), 0)
         bound = (norm_x + norm_q[i] - low * low) / 2
         bound += 1e-9 * (norm_x + norm_q[i]) + 1e-6
         bound[ids == own] = -np.inf
         best_ids, best, evaluated = np.zeros(0, np.int64), np.zeros(0, kind), 0
         floor = -np.inf if least[i] is None else float(least[i]) - 1e-9 * abs(float(least[i]))
-        size, rest = max(64, 2 * k), np.flatnonzero((bound > -np.inf) & (bound >= floor))
+        size, rest, asked = max(64, 2 * k), np.flatnonzero((bound > -np.inf) & (bound >= floor)), q[i].astype(kind)
         while len(rest):
             if len(rest) > size:
                 split = np.argpartition(-bound[rest], size - 1)
                 now, rest = rest[split[:size]], rest[split[size:]]
             else:
                 now, rest = rest, rest[:0]
-            scores = values[now] @ q[i].astype(kind)
+            scores = np.take(values, now, axis=0) @ asked
             evaluated += len(now)
             if least[i] is not None:
                 now, scores = now[scores >= least[i]], scores[scores >= least[i]]
@@ -131,9 +135,9 @@ def pivot_table(rows: DataFrame, pivots: dict[int, np.ndarray], sample: dict[int
                 if d in sample and asks[own].any():
                     for i, low in zip(own[asks[own]].tolist(), floors(*sample[d], ids[own[asks[own]]], v[asks[own]], k), strict=True):
                         least[i] = low
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(far, pa.list_(pa.float64())), pa.array(least, pa.int64())], names=[*b.schema.names, "far", "least"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(far, pa.list_(pa.float32())), pa.array(least, pa.int64())], names=[*b.schema.names, "far", "least"])
 
-    return rows.select("vec_id", "v", "dim", "is_query").mapInArrow(each, "vec_id long, v array<long>, dim int, is_query boolean, far array<double>, least long")
+    return rows.select("vec_id", "v", "dim", "is_query").mapInArrow(each, "vec_id long, v array<long>, dim int, is_query boolean, far array<float>, least long")
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 20, block: int = BLOCK, shares: bool = False) -> DataFrame:
@@ -172,9 +176,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, block: int = BLOCK,
         asks, ids = group.column("asks").to_numpy(), group.column("vec_id").to_numpy()
         out: tuple[list, list, list] = ([], [], [])
         if asks.any() and not asks.all():
-            v, far = _vectors(group.column("v")), _vectors(group.column("far"), np.float64)
+            v, far = _vectors(group.column("v")), _vectors(group.column("far"), np.float32)
             least = group.column("least").filter(pa.array(asks)).to_pylist()
-            far, norm = (far, norms[v.shape[1]]) if v.shape[1] in norms else (np.zeros((len(ids), 0)), np.zeros(0))
+            far, norm = (far, norms[v.shape[1]]) if v.shape[1] in norms else (np.zeros((len(ids), 0), np.float32), np.zeros(0))
             for query, best, score, evaluated in search(ids[~asks], v[~asks], far[~asks], ids[asks], v[asks], far[asks], norm, least, k):
                 n = 1 if shares else len(best)
                 out[0].extend([query] * n)
