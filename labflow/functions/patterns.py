@@ -93,11 +93,23 @@ METHODOLOGY = (
 )
 
 
+def _by_letter(parts: list[str]) -> str:
+    """Alternatives grouped by the letter that they begin with, so that most are passed over at once; none may depend on case."""
+    groups: dict[str, list[str]] = {}
+    rest = []
+    for x in parts:
+        if x[:1].isalpha() and x[1:2] not in ("?", "*", "+", "{"):
+            groups.setdefault(x[0].lower(), []).append(x[1:])
+        else:
+            rest.append(x)
+    return "|".join([*(f"{k}(?:{'|'.join(v)})" for k, v in groups.items()), *rest])
+
+
 def alternation(bank: tuple[str, ...]) -> str:
     """One pattern for all of a bank, in which a word's or the line's beginning is looked for once and not by each."""
     of = lambda start: [x.removeprefix(start) for x in bank if x.startswith(start)]
     rest = [x for x in bank if not x.startswith(("\\b", "^"))]
-    return "(?i)" + "|".join([*(f"{start}(?:{'|'.join(of(start))})" for start in ("\\b", "^") if of(start)), *rest])
+    return "(?i)" + "|".join([*(f"{start}(?:{_by_letter(of(start))})" for start in ("\\b", "^") if of(start)), *rest])
 
 
 NOISE = {kind: alternation(bank) for kind, bank in (("address", ADDRESS), ("contact", CONTACT), ("metadata", METADATA), ("boilerplate", BOILERPLATE), ("methodology", METHODOLOGY))}
