@@ -22,8 +22,10 @@ from labflow.llm.simhash import text_node, text_roots
 LEAST_SHARE = 0.5
 #: Documents with a line for it to go.
 LINE_DOCS = 10
-#: Bands of which candidates agree in one, and the share of five-word shingles that linked texts have in common.
-BANDS, SIMILARITY = 24, 0.8
+#: Bits that the SimHash fingerprints of candidates differ in at most, and the share of five-word shingles that linked texts have in common.
+FAR, SIMILARITY = 4, 0.8
+#: Bands that find what fingerprints miss: candidates agree in one. None leaves fingerprints alone.
+BANDS = 24
 
 
 def _packed(docs: DataFrame, *needed: str) -> DataFrame:
@@ -61,12 +63,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of near-duplicates: that of the smallest doc_id, null last, then of the smallest text hash.
 
+    Candidates are op1's: SimHash fingerprints within FAR bits, by the
+    generalised pigeonhole principle. Texts at 0.8 may be further apart, so
+    those that agree in a band are candidates too; each is held against the texts.
     Null, empty and blank texts are one group. Rows of one doc_id with unlike
     texts are in groups of their own. Of rows with the same doc_id and text one
     stays, whichever.
     """
     node = text_node(docs)
-    roots = text_roots(docs, width=5, most=0, least=SIMILARITY, times=0, bands=BANDS, node=node)
+    roots = text_roots(docs, width=5, most=FAR, least=SIMILARITY, times=1, bands=BANDS, node=node)
     rows = cut(docs.select("doc_id", node.alias("node")).join(roots, "node"))
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first"))
     gone = rows.join(first, "root").where("not (doc_id <=> first.doc_id and node = first.node)")
@@ -104,7 +109,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("byte_bpe", byte_bpe)]
 
-#: A model, Bloom filters, bands of hashes and BPE are beyond SQL; tests hold the result against a brute-force version.
+#: A model, Bloom filters, fingerprints and BPE are beyond SQL; tests hold the result against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -17,7 +17,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labflow.llm.common import lean, table
+from labflow.llm.common import give_back, lean, table
 
 #: The pattern whose matches are found for a whole batch at once; those of any other are found text by text.
 PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -25,6 +25,8 @@ PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 MOST_WORDS, SHORT, LONGEST = 1_000_000, 23, 64
 #: Characters that are encoded at once, and ids that are spelled at once.
 AT_ONCE, IDS = 4_200_000, 1 << 18
+#: As many for round_trip(), which runs beside what earlier stages have left in memory.
+ROUND_TRIP = 1_000_000
 #: A single blank between two characters that are no white space: no match of PLAIN reaches over it.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
@@ -426,12 +428,13 @@ class Codec:
         ends = upto[np.cumsum(per_text)]
         return [out[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
-    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
-        """The ids of each whole text, each match of the pattern by itself."""
+    def encode_all(self, texts: Iterable[str], most: int | None = None) -> Iterator[np.ndarray]:
+        """The ids of each whole text, each match of the pattern by itself; `most` characters (AT_ONCE) at once, but for a longer text's."""
+        most = most or AT_ONCE
         held: list[str] = []
         size = 0
         for text in texts:
-            if held and size + len(text) > AT_ONCE:
+            if held and size + len(text) > most:
                 yield from self._flush(held)
                 held, size = [], 0
             if len(text) > AT_ONCE and self.find is None:
@@ -535,6 +538,7 @@ def _mapped(docs: DataFrame, path: str, pattern: str, source: str, more: str, fu
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
+        give_back()
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, *function(own, b.column(at))], names=[*b.schema.names, *names])
 
@@ -548,7 +552,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATT
     def both(own: Codec, column: pa.Array) -> list[pa.Array]:
         texts = [x or "" for x in column.to_pylist()]
         ids, same = [], []
-        for text, found in zip(texts, own.encode_all(texts), strict=True):
+        for text, found in zip(texts, own.encode_all(texts, ROUND_TRIP), strict=True):
             ids.append(found)
             same.append(own.decode(found) == text.encode())
         return [_lists(ids), pa.array(same, pa.bool_())]

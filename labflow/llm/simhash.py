@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labflow.llm.common import byte_values, cut, lean, let_go, small, table
+from labflow.llm.common import byte_values, cut, give_back, lean, let_go, small, table
 from labflow.llm.components import components
 
 BITS = 64
@@ -414,6 +414,7 @@ def _mixed(batches: Iterator[pa.RecordBatch], width: int, times: int, bands: int
         columns = {"node": b.column(0), "size": sizes} | {f"mark{k}": pa.array([x[k] for x in marks], pa.int64()) for k in range(MARKS)}
         columns |= {f"fp{k}": pa.array([x[k] for x in found], pa.int64()) for k in range(times)}
         yield pa.RecordBatch.from_pydict(columns | {"bands": pa.array([band_keys(x, bands) for x in sets], pa.list_(pa.int64()))})
+    give_back()
 
 
 def _alike(width: int, least: float):
@@ -427,6 +428,7 @@ def _alike(width: int, least: float):
                 shared = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(shared >= least * (len(p) + len(q) - shared))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return each
 

@@ -5,11 +5,12 @@ from collections import Counter
 
 import corpus_pipeline
 import duckdb
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from labflow.llm import langid, mixing
+from labflow.llm import bpe, langid, mixing, simhash
 from test_odd_cases import brute_shares
 from test_operators import reference  # noqa: F401
 from tests_llm_docs import rows
@@ -151,3 +152,31 @@ def test_stages_keep_clashing_columns(spark, at):
 @pytest.mark.parametrize("at", range(5))
 def test_stages_of_nothing(spark, at):
     assert corpus_pipeline.STAGES[at][1](spark, spark.createDataFrame([], SCHEMA), "").count() == 0
+
+
+def test_near_dedup_by_fingerprints(spark, monkeypatch):
+    seen = []
+    links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda prints, most, *more: seen.append(most) or links(prints, most, *more))
+    monkeypatch.setattr(corpus_pipeline, "BANDS", 0)
+    r = random.Random(11)
+    docs, near = [], set()
+    for i in range(60):
+        words = [str(r.randrange(10**6)) for _ in range(400)]
+        more = [*words[:200], "changed", *words[201:]] if i % 2 else words[:-1]
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(more))]
+        a, b = (simhash.fingerprint(d[1].encode(), 5)[0] for d in docs[-2:])
+        near |= {2 * i + 1} if ((a ^ b) & (1 << 64) - 1).bit_count() <= corpus_pipeline.FAR else set()
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert {d[0] for d in docs} - {row["doc_id"] for row in got.collect()} == near
+    assert len(near) > 40 and set(seen) == {corpus_pipeline.FAR}
+
+
+def test_round_trip_in_smaller_parts(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own, texts = bpe.codec(path, public_tokenizers.PATTERN), [f"größe {i} of words  {'x' * i}\n" for i in range(50)]
+    sizes, flush = [], bpe.Codec._flush
+    monkeypatch.setattr(bpe.Codec, "_flush", lambda self, held: sizes.append(sum(map(len, held))) or flush(self, held))
+    want = [x.tolist() for x in own.encode_all(texts)]
+    assert [x.tolist() for x in own.encode_all(texts, 200)] == want
+    assert sizes[0] == sum(map(len, texts)) and max(sizes[1:]) <= 200 and len(sizes) > 5
