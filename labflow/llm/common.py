@@ -2,41 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import re
-import shutil
-import tempfile
 from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labflow.operators.once import cut as cut
+
 #: Bytes of a batch of rows that Python gets.
 BATCH_BYTES = 4 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and continue from there.
-
-    The folder is the session's spark.checkpoint.dir; only where none is named
-    and all of Spark runs in one process (as in tests) a temporary one is made.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        if not where:
-            where = tempfile.mkdtemp(prefix="labflow-checkpoint-")
-            atexit.register(shutil.rmtree, where, True)
-        sc.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
-
-
 def unused(df: DataFrame, stem: str = "_own") -> str:
     """A prefix that no column of df begins with, for columns that an operator adds for a while."""
     while any(c.lower().startswith(stem) for c in df.columns):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labflow.functions import patterns as P
 from labflow.functions import text as T
+from labflow.operators.once import Once
 
 #: Names that are looked up in a literal map at most; beyond it the table is joined.
 MOST_LITERAL = 2_000
@@ -53,21 +54,24 @@ def section_category(raw: Column) -> Column:
     return F.when(kind == "noise", "Suppressed").when(kind == "pseudo", "Uncategorized").otherwise(F.coalesce(alias, T.title_case(t)))
 
 
-def classify_sections(entries: DataFrame, column: str = "raw_category") -> DataFrame:
+def classify_sections(entries: DataFrame, column: str = "raw_category", once: Once | None = None) -> DataFrame:
     """Each distinct heading classified once, then joined back."""
+    if once is not None:
+        return once.each(entries, column, lambda df: df.withColumn("section_kind", section_kind(F.col(column))).withColumn("section", section_category(F.col(column))))
     kinds = entries.select(column).distinct().withColumn("section_kind", section_kind(F.col(column))).withColumn("section", section_category(F.col(column)))
     return entries.join(kinds, entries[column].eqNullSafe(kinds[column]), "left").drop(kinds[column])
 
 
-def normalise(entries: DataFrame, synonyms: dict[str, str] | None = None) -> DataFrame:
+def normalise(entries: DataFrame, synonyms: dict[str, str] | None = None, once: Once | None = None) -> DataFrame:
     """entries (doc_id, ord, raw_name, raw_category, ...) with section_kind, section, test_name and category.
 
     A known name's own category overrides the heading; what stands under a noise
     heading is marked suppressed.
     """
-    entries = classify_sections(entries)
+    entries = classify_sections(entries, once=once)
     name = F.coalesce(canonical_name(F.col("raw_name"), synonyms), T.strip(F.col("raw_name")))
-    entries = entries.withColumn("test_name", name)
+    named = lambda df: df.withColumn("test_name", name)
+    entries = named(entries) if once is None else once.each(entries, "raw_name", named)
     return entries.withColumn("category", F.coalesce(F.element_at(T.lit_map(true_categories()), F.col("test_name")), F.col("section"))).withColumn("suppressed", F.col("section_kind") == "noise")
 
 

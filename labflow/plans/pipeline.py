@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from labflow.operators import layout as L
 from labflow.operators import semantic as S
 from labflow.operators import sequence as Q
 from labflow.operators import summary as R
+from labflow.operators.once import Once
 from labflow.plans.settings import Settings, client, settings
 from labflow.sources import ingest
 
@@ -33,12 +33,13 @@ class Results:
     findings: DataFrame
     audit: DataFrame
     summary: DataFrame
-    #: What all of them share: the rows found, which Spark keeps from the first use on.
+    #: What all of them share: the rows found.
     found: DataFrame
+    once: Once
 
     def release(self) -> None:
         """Let go of what is kept; the tables stay good, and are computed anew."""
-        self.found.unpersist()
+        self.once.release()
 
 
 def _scrubbed(texts: Column) -> Column:
@@ -56,20 +57,27 @@ def analyze(docs: DataFrame, items: DataFrame | None = None, synonyms: dict[str,
     extraction enabled, a document's results come from the labels of its blocks,
     unless they yield too little. A document without a text has failed: its
     report is empty, and says so. Metadata are those of the text, before layout.
-    The rows found, far less than the texts, are kept on the executors (in memory,
-    or on disk where that is short; a lost part is computed anew) until release().
+    What follows from a line, a row's text, a heading or a name alone is found
+    once for each different one; for that, lines and rows are found at once, and
+    kept on the executors (in memory, or on disk where that is short; a lost part
+    is computed anew) until release(). doc_id is a key, and not null.
     """
-    own = own or settings(docs.sparkSession)
+    own, once = own or settings(docs.sparkSession), Once()
     status = F.col("extraction_status") if "extraction_status" in docs.columns else ingest.status(F.col("text"))
     state = docs.select("doc_id", "text", status.alias("status"), (F.col("warnings") if "warnings" in docs.columns else F.lit(None).cast("array<string>")).alias("told"))
-    cleaned = Q.clean(Q.drop_repeated_block(Q.lines(state.where("status <> 'failed'"))))
-    about = Q.metadata(cleaned)
+    # A row for each line, and one for a document without any.
+    texts = F.when(F.col("status") != "failed", F.split("text", "\n"))
+    base = once.hold(state.select("doc_id", F.posexplode_outer(texts).alias("line_ix", "line")))
+    ids = base.where("coalesce(line_ix, 0) = 0").select("doc_id")
+    cleaned = once.hold(Q.clean(Q.drop_repeated_block(base.where("line_ix is not null"), once), once))
     lines = cleaned
     if items is not None:
         laid = L.to_lines(items).join(state.where("status <> 'failed'").select("doc_id"), "doc_id", "left_semi")
-        lines = Q.clean(laid).unionByName(cleaned.join(laid.select("doc_id").distinct(), "doc_id", "left_anti"))
-    found = Q.detect(Q.carry_category(lines)).persist(StorageLevel.MEMORY_AND_DISK)
-    parsed = E.fields(found.where("classification is not null"))
+        lines = Q.clean(laid, once).unionByName(cleaned.join(laid.select("doc_id").distinct(), "doc_id", "left_anti"))
+    found = Q.detect(Q.carry_category(lines, once), once)
+    said_of = Q.metadata(cleaned, once=once)
+    about = cleaned.select("doc_id").distinct().join(said_of, "doc_id", "left")
+    parsed = once.each(found.where("classification is not null"), "raw_text", E.fields)
     warned = found.where("exceeded").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_ix", Q.merge_warning().alias("t")))), lambda x: x.t).alias("warnings"))
     ready = parsed.where(E.is_entry(parsed))
     counts = E.quality(parsed)
@@ -86,7 +94,7 @@ def analyze(docs: DataFrame, items: DataFrame | None = None, synonyms: dict[str,
         quality = rest(quality).unionByName(other.quality.join(used, "doc_id", "left_semi"), allowMissingColumns=True)
         sure = rest(sure).unionByName(other.quality.join(used, "doc_id", "left_semi").select("doc_id", "confidence"))
         said = other.metadata.join(used, "doc_id", "left_semi")
-        about = X.merge_metadata(about.withColumns({c: F.col(c).cast("string") for c in ("report_date", "sample_date")}), said)
+        about = said_of = X.merge_metadata(about.withColumns({c: F.col(c).cast("string") for c in ("report_date", "sample_date")}), said)
     broken = E.violations(by_rules.withColumn("ord", F.col("line_ix"))).select("doc_id").distinct().withColumn("invalid", F.lit(True))
     quality = E.with_empty(docs, quality).join(state.select("doc_id", "status", "told"), "doc_id").join(broken, "doc_id", "left").join(used, "doc_id", "left")
     low, invalid = F.col("status") == "scanned_fallback", F.coalesce("invalid", F.lit(False))
@@ -94,8 +102,8 @@ def analyze(docs: DataFrame, items: DataFrame | None = None, synonyms: dict[str,
     warnings = F.concat(texts(F.col("labelled").isNotNull(), BY_LABELS), F.coalesce("told", F.array().cast("array<string>")), texts(F.col("status") == "failed", FAILED), F.coalesce("warnings", F.array().cast("array<string>")), texts(low, LOW), texts(invalid, INVALID))
     quality = quality.withColumns({"warnings": warnings, "low_confidence": low, "validation_failed": invalid}).drop("status", "told", "invalid", "labelled")
     entries = by_rules.select("doc_id", F.col("line_ix").alias("ord"), F.col("test_name").alias("raw_name"), F.col("category").alias("raw_category"), "value", "unit", "flag", "low", "high", "range_text", "notes", "uncertain", "uncertainty_reason")
-    named = S.deduplicate(S.normalise(entries, synonyms))
+    named = S.deduplicate(S.normalise(entries, synonyms, once))
     kept = R.findings(named.where("fate = 'kept'"), own.corrected)
-    summary = E.with_empty(docs, R.counts(kept, "doc_id")).join(about, "doc_id", "left").join(sure, "doc_id", "left").fillna(0.0, ["confidence"])
+    summary = E.with_empty(ids, R.counts(kept, "doc_id")).join(said_of, "doc_id", "left").join(sure, "doc_id", "left").fillna(0.0, ["confidence"])
     summary = R.overview(summary.withColumn("report_date", F.col("report_date").cast("string")))
-    return Results(named, about, quality, kept, S.audit(named), summary, found)
+    return Results(named, about, quality, kept, S.audit(named), summary, found, once)

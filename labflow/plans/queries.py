@@ -578,7 +578,7 @@ FROM (SELECT *, total_entries - skipped_count AS t FROM report)"""
 @query("analyze_report", f"SELECT * EXCLUDE (t) FROM ({ANALYZE_SQL})")
 def analyze_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.report_lines(spark, sf_dir)
-    docs = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_ix", "line"))), lambda s: s.line), "\n").alias("text"))
+    docs = rows.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("line_ix", "line")))["line"], "\n").alias("text"))
     return analyze(docs.withColumn("extraction_status", F.lit("success"))).summary.drop("sample_date", "report_id")
 
 
